@@ -24,6 +24,8 @@ from claimweave.session import cut, drop_cuts
 SMALL_GRAPH = 1_000_000
 #: Neighbours per partition of a node's adjacency rows.
 ADJACENCY = 10_000
+#: Nodes with spread neighbours that may be broadcast (16 bytes each).
+MOST_WIDE = 100_000
 #: A component above this share of all records is placed by itself, so at most 1 / share are.
 GIANT_SHARE = 0.005
 BUCKETS = 4096
@@ -70,7 +72,9 @@ def _components(spark, pairs: DataFrame, seed: int, small: int, depth: int = 0)
     order = lambda c: F.struct(F.xxhash64(F.lit(seed + depth), c), F.col(c))
     nodes = cut(both.groupBy("a").agg(F.count(F.lit(1)).alias("deg"), F.min(order("b")).alias("best")).select(
         F.col("a").alias("node"), (order("a") < F.col("best")).alias("is_seed"), F.ceil(F.col("deg") / ADJACENCY).cast("int").alias("parts")))
-    wide = F.broadcast(nodes.where("parts > 1").select(F.col("node").alias("a"), "parts")) if n > ADJACENCY else None
+    wide = nodes.where("parts > 1").select(F.col("node").alias("a"), "parts") if n > ADJACENCY else None
+    if wide is not None and wide.count() <= MOST_WIDE:
+        wide = F.broadcast(wide)
     adjacency = both.withColumn("part", F.lit(0)) if wide is None else both.join(wide, "a", "left").withColumn(
         "part", F.coalesce(F.pmod(F.hash("b"), F.col("parts")), F.lit(0))).drop("parts")
     adjacency = cut(adjacency.repartition("a", "part"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.functions.clean import finite, polarity
-from claimweave.llm import linked_splits, mixing, target_sample, tokenize
+from claimweave.llm import langid, linked_splits, mixing, target_sample, tokenize
 from claimweave.session import table
 
 
@@ -66,7 +66,24 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(*_mix(spark, sf_dir), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p2_found, p2_splits, p6_ids, p7_found, p7_mix, p7_report)}
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.detect(docs, langid.fit(docs))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    case = lambda start, lang: F.struct(start.cast("int").alias("seg_start"), lang.alias("lang"))
+    label = F.when(F.col("label_wrong"), case(F.lit(-1), F.col("main_lang")))
+    parts = F.when(F.size("segments") > 1, F.transform("segments", lambda s: case(s["seg_start"], s["lang"])))
+    cases = F.concat(F.array_compact(F.array(label)), F.coalesce(parts, F.array().cast("array<struct<seg_start:int,lang:string>>")))
+    return _languages(spark, sf_dir).select("doc_id", F.explode(cases).alias("c")).select("doc_id", "c.seg_start", "c.lang")
+
+
+def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _languages(spark, sf_dir).select("doc_id", "main_lang", F.round("main_confidence", 4).alias("confidence"), "label_wrong", "segments")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p2_found, p2_splits, p6_ids, p7_found, p7_mix, p7_report, p8_found, p8_languages)}
 
 SQL = {
     "p1_found": """
