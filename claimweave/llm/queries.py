@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.functions.clean import finite, polarity
-from claimweave.llm import langid, linked_splits, mixing, target_sample, tokenize
-from claimweave.session import table
+from claimweave.functions.clean import authors, finite, organisations, polarity
+from claimweave.llm import langid, linked_splits, mixing, names, target_sample, tokenize
+from claimweave.session import cut, table
 
 
 def _whole(c: str, low: int, high: int):
@@ -45,6 +45,20 @@ def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_splits.assign_splits(claims, roots, shares, "up", "dn", ["claim_id"]).select("claim_id", "root", "split")
 
 
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims = table(spark, sf_dir, "claims").select("aus", "affs")
+    counts = cut(names.spelling_counts(claims, {"aus": authors("aus"), "affs": organisations("affs")}))
+    return names.link_variants(counts.where("field = 'aus'"), counts.where("field = 'affs'"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.variant_pairs(_names(spark, sf_dir))
+
+
+def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _names(spark, sf_dir)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
@@ -83,7 +97,7 @@ def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _languages(spark, sf_dir).select("doc_id", "main_lang", F.round("main_confidence", 4).alias("confidence"), "label_wrong", "segments")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p2_found, p2_splits, p6_ids, p7_found, p7_mix, p7_report, p8_found, p8_languages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p2_found, p2_splits, p3_found, p3_entities, p6_ids, p7_found, p7_mix, p7_report, p8_found, p8_languages)}
 
 SQL = {
     "p1_found": """
