@@ -49,7 +49,7 @@ def mix_rates(sized: DataFrame, targets: DataFrame) -> DataFrame:
     t = t.withColumn("target_tokens", want)
     rate = F.when(F.col("source_tokens") > 0, F.col("target_tokens") / F.col("source_tokens")).otherwise(F.lit(0.0))
     return t.select(
-        "mix_id", "source", "weight", (F.col("weight") / F.col("__cw_sum")).alias("target_share"), "max_repeats", "target_tokens", "source_tokens",
+        "mix_id", "source", "weight", F.try_divide("weight", "__cw_sum").alias("target_share"), "max_repeats", "target_tokens", "source_tokens",
         F.greatest(F.lit(0.0), F.least(rate, F.col("max_repeats").cast("double"))).alias("rate"),
         (F.col("max_repeats") * F.col("source_tokens") < F.col("target_tokens")).alias("falls_short"))
 
