@@ -186,7 +186,8 @@ _SEGMENTS = pa.list_(pa.struct([("seg_start", pa.int32()), ("seg_end", pa.int32(
 
 def analyse(texts: list[str | None], weights: np.ndarray) -> tuple[list, list, list]:
     """Main language, its confidence, and the segments of each text."""
-    found = [sentences(t) for t in texts]
+    fitted = weights.max() > -1e3
+    found = [sentences(t) if fitted else [] for t in texts]
     flat = [s for f in found for _, _, s in f]
     mains, confidences, segments = [], [], []
     total, grams = score(flat, weights) if flat else (np.zeros((0, len(CODES))), np.zeros(0))
@@ -228,8 +229,8 @@ def detect(docs: DataFrame, weights: np.ndarray, text: str = "text", lang: str =
     The main language is the one with most characters; segments are longest runs of sentences of one
     language, starting at the first character that is no space, in code points. `label_wrong`: the
     label is missing, names no single language, or not the main one. Null, empty and blank texts and
-    texts without sentences have a null main language, no segments, and no wrong label. Whole texts
-    are read. A narrow operation; same-named columns are replaced.
+    texts without sentences have a null main language, no segments, and no wrong label; so has every
+    text under a model that no labelled document was there to fit. Whole texts are read. A narrow operation; same-named columns are replaced.
     """
     names = ["main_lang", "main_confidence", "segments"]
     own = [c for c in docs.columns if c not in (*names, "label_wrong")]
