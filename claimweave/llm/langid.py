@@ -36,19 +36,20 @@ LANGUAGES = {
 }
 CODES = list(LANGUAGES)
 BUCKETS, GRAMS, SMOOTH = 1 << 16, (2, 3, 4), 0.2
+_MULT, _SHIFT = np.uint32(0x9E3779B1), np.uint32(16)
 #: Labelled documents per language in the fit, about.
 FIT_DOCS = 1500
 #: Least gain in log probability per gram for which a sentence leaves the main language of its document.
 LEAVE = 0.15
 #: Grams scored at once.
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 
 _END = re.compile(r"[.!?…]+(?:</?\w+>|[\"'»”’)\]])*(?=\s|&nbsp;|$)|[。！？｡]+(?:</?\w+>|[”’」』）])*")
 _MARK = re.compile(r"<\|?[^<>\n]{1,40}\|?>|\[[A-Z]{2,6}\]|&#?\w{1,8};|https?://\S+")
 _BREAK = re.compile(r"[-‐]\s*\r?\n[-‐]?\s*|[­​‌‍⁠﻿]")
-_DIGITS = re.compile(r"[A-Za-z_\-]*\d[\w\-]*", re.ASCII)
-_REST = re.compile(r"[\W\d_]+")
-_WORD = re.compile(r"[^\W\d_]{2,}")
+_DIGITS = re.compile(r"(?<![A-Za-z_\-])[A-Za-z_\-]*\d[\w\-]*", re.ASCII)
+_LETTERS = re.compile(r"[^\W\d_]+")
+_ACCENT = re.compile(r"[\u0300-\u036f\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
 _CJK = re.compile(r"[㐀-鿿]")
 
 
@@ -63,11 +64,15 @@ def label_code(c: str = "lang"):
 
 def normalise(text: str) -> str:
     """Lower-case letters without accents, words parted by one space; CJK signs are kept."""
-    text = _MARK.sub("", _BREAK.sub("", text.replace("&nbsp;", " ")))
+    # Most texts hold none of what the patterns take out, and a look for a character is far cheaper.
+    if "-" in text or "‐" in text or not text.isascii():
+        text = _BREAK.sub("", text)
+    if "&" in text or "<" in text or "[" in text or "http" in text:
+        text = _MARK.sub("", text.replace("&nbsp;", " "))
     text = _DIGITS.sub(" ", text)
     if not text.isascii():
-        text = "".join(ch for ch in unicodedata.normalize("NFKD", text) if not unicodedata.combining(ch))
-    return f" {_REST.sub(' ', text).strip().lower()} "
+        text = _ACCENT.sub("", unicodedata.normalize("NFKD", text))
+    return f" {' '.join(_LETTERS.findall(text)).lower()} "
 
 
 def sentences(text: str | None) -> list[tuple[int, int, str]]:
@@ -83,27 +88,25 @@ def sentences(text: str | None) -> list[tuple[int, int, str]]:
         at, piece = end, piece.strip()
         if piece:
             plain = normalise(piece)
-            if len(_WORD.findall(plain)) >= 3 or len(_CJK.findall(plain)) >= 4:
+            if sum(len(w) > 1 for w in plain.split()) >= 3 or len(_CJK.findall(plain)) >= 4:
                 out.append((start, end, plain))
     return out
 
 
-def _hashes(plain: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of each gram, sentence of each gram) for normalised sentences."""
-    joined = "".join(plain)
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(plain)), [len(s) for s in plain])
-    buckets, owners = [], []
-    run = codes.copy()
-    mult, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(40)
+def _grams(plain: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each gram size: (bucket of each gram, in order; grams of each sentence). Sentences are at
+    least as long as the largest gram."""
+    lengths = np.array([len(s) for s in plain])
+    ends = np.cumsum(lengths)
+    codes = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), np.uint32)
+    run = codes
     for n in range(2, max(GRAMS) + 1):
-        run = (run[:-1] if n > 2 else run[: len(codes) - 1]) * mult + codes[n - 1 :]
+        run = run[: len(codes) - n + 1] * _MULT + codes[n - 1 :]
         if n in GRAMS:
-            same = owner[: len(run)] == owner[n - 1 :]
-            mixed = (run + np.uint64(n)) * mult
-            buckets.append(((mixed >> shift) % np.uint64(BUCKETS)).astype(np.int64)[same])
-            owners.append(owner[: len(run)][same])
-    return np.concatenate(buckets), np.concatenate(owners)
+            inside = np.ones(len(codes), bool)
+            for k in range(1, n):
+                inside[ends - k] = False
+            yield ((run + np.uint32(n)) * _MULT >> _SHIFT)[inside[: len(run)]], lengths - (n - 1)
 
 
 def score(plain: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,12 +119,9 @@ def score(plain: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray
         while at < len(plain) and (at == low or size + len(plain[at]) < CHUNK):
             size += len(plain[at])
             at += 1
-        bucket, owner = _hashes(plain[low:at])
-        for a in range(0, len(bucket), CHUNK):
-            b, o = bucket[a : a + CHUNK], owner[a : a + CHUNK]
-            for j in range(weights.shape[1]):
-                total[low:at, j] += np.bincount(o, weights[b, j], at - low)
-        grams[low:at] += np.bincount(owner, minlength=at - low)
+        for bucket, counts in _grams(plain[low:at]):
+            total[low:at] += np.add.reduceat(weights[bucket], np.cumsum(counts) - counts, axis=0, dtype=np.float64)
+            grams[low:at] += counts
     return total, grams
 
 
@@ -132,7 +132,7 @@ def _counts(sample: DataFrame, model) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(BUCKETS * langs, np.int64)
-        for batch in batches:
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             plain, code = [], []
             for text, label in zip(batch.column("text").to_pylist(), batch.column("code").to_pylist()):
                 for _, _, s in sentences(text):
@@ -144,8 +144,8 @@ def _counts(sample: DataFrame, model) -> np.ndarray:
             if model is not None:
                 total, _ = score(plain, model.value)
                 own = total.argmax(1)
-            bucket, owner = _hashes(plain)
-            found += np.bincount(bucket * langs + own[owner], minlength=len(found))
+            for bucket, counts in _grams(plain):
+                found += np.bincount(bucket.astype(np.int64) * langs + np.repeat(own, counts), minlength=len(found))
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], names=["cell", "n"])
 
