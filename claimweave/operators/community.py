@@ -1,7 +1,8 @@
-"""Communities by synchronous label propagation over edge rows, for all groups at once.
+"""Communities by label propagation over edge rows, for all groups at once.
 
 A grouped function per interaction would gather a hot interaction's graph in one task; here a round
-is two aggregations over (group, node, label). Labels are node ids; ties go to the lowest label, so
+is two half-steps, each an aggregation over (group, node, label) for half of the nodes: with all at
+once, the two sides of a bipartite graph would swap labels for ever. Labels are node ids; ties go to the lowest label, so
 results do not depend on partitioning. The number of rounds is a parameter; labels of a round are
 cut from lineage."""
 
@@ -13,19 +14,22 @@ from pyspark.sql import functions as F
 from claimweave.session import cut
 
 
-def label_propagation(edges: DataFrame, group: list[str], a: str, b: str, weight: str | None = None, rounds: int = 4) -> DataFrame:
-    """`group`, `node`, `label` for a bipartite or plain graph with nodes in `a` and `b` (strings)."""
+def label_propagation(edges: DataFrame, group: list[str], a: str, b: str, weight: str | None = None, rounds: int = 3, bipartite: bool = False) -> DataFrame:
+    """`group`, `node`, `label` for a bipartite or plain graph with nodes in `a` and `b` (strings).
+    The halves are the two sides of a bipartite graph, else halves of the nodes by hash."""
     w = F.col(weight) if weight else F.lit(1.0)
+    half = lambda c, side: F.lit(side) if bipartite else F.pmod(F.xxhash64(c), F.lit(2)).cast("int")
     e = edges.select(*group, F.col(a).cast("string").alias("x"), F.col(b).cast("string").alias("y"), w.cast("double").alias("w")).where("x <> y")
-    both = cut(e.unionByName(e.select(*group, F.col("y").alias("x"), F.col("x").alias("y"), "w")).groupBy(*group, "x", "y").agg(F.sum("w").alias("w")))
-    labels = cut(both.select(*group, F.col("x").alias("node"), F.col("x").alias("label")).distinct())
-    for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("node", "y"), [*group, "y"]).groupBy(*group, F.col("x").alias("node"), "label").agg(F.sum("w").alias("w"))
-        # A node's own label counts a little, which stops pairs from swapping labels for ever.
-        own = labels.withColumn("w", F.lit(0.5))
-        votes = near.unionByName(own).groupBy(*group, "node", "label").agg(F.sum("w").alias("w"))
-        labels = cut(votes.groupBy(*group, "node").agg(F.min_by("label", F.struct(-F.round("w", 6), F.col("label"))).alias("label")))
-    return labels
+    one = e.withColumn("half", half("x", 0))
+    other = e.select(*group, F.col("y").alias("x"), F.col("x").alias("y"), "w", half("y", 1).alias("half"))
+    both = cut(one.unionByName(other).groupBy(*group, "half", "x", "y").agg(F.sum("w").alias("w")))
+    labels = cut(both.select(*group, "half", F.col("x").alias("node"), F.col("x").alias("label")).distinct())
+    for step in range(2 * rounds):
+        now = F.col("half") == step % 2
+        near = both.where(now).join(labels.select(*group, F.col("node").alias("y"), "label"), [*group, "y"]).groupBy(*group, "half", F.col("x").alias("node"), "label").agg(F.sum("w").alias("w"))
+        best = near.groupBy(*group, "half", "node").agg(F.min_by("label", F.struct(-F.round("w", 6), F.col("label"))).alias("label"))
+        labels = cut(labels.where(~now).unionByName(best))
+    return labels.drop("half")
 
 
 def community_table(labels: DataFrame, group: list[str]) -> DataFrame:

@@ -83,7 +83,7 @@ def vertex_degrees(spark, sf_dir):
 
 def _communities(spark, sf_dir):
     e = claims(spark, sf_dir).select("up", "dn", "pmid").distinct().join(paper_units(spark, sf_dir), "pmid").select("up", "dn", F.concat(F.lit("p"), "pmid").alias("p"), F.concat(F.lit("u:"), "unit").alias("unit"))
-    labels = C.label_propagation(e, ["up", "dn"], "p", "unit").where("node not like 'u:%'")
+    labels = C.label_propagation(e, ["up", "dn"], "p", "unit", bipartite=True).where("node not like 'u:%'")
     return C.community_table(labels, ["up", "dn"]).withColumn("pmid", F.expr("substring(node, 2)").cast("long"))
 
 
