@@ -142,3 +142,19 @@ def test_parameter_maps(spark):
     df = spark.sql("select map('mu_0', 2.0D, 't_0', 9.0D, 'mu_1', 3.0D, 't_1', 1.0D) as m, map('a', 2.0D, 'b', 0.0D) as x, map('a', 3.0D, 'b', 1.0D) as y")
     r = df.select(reshape.order_modes(reshape.numbered_parameters(F.col("m")), "t").alias("o"), reshape.relative_difference(F.col("x"), F.col("y")).alias("d"), reshape.unwrap_bytes(F.lit("b'12'")).alias("u")).first()
     assert [m["mu"] for m in r["o"]] == [3.0, 2.0] and r["d"] == {"a": 0.5, "b": None} and r["u"] == "12"
+
+
+def test_estimates_and_splits(spark):
+    from claimweave.operators import estimates as E
+    df = spark.createDataFrame([(1, 2, 1, [0.0, 1.0], 7), (1, 2, 0, [0.25, 0.75], 8)], "up long, dn long, pos int, p array<double>, comm int")
+    v = E.claim_validity(df, "p").orderBy("pos")
+    assert [round(r["pi_pos"], 3) for r in v.collect()] == [0.25, 0.999]
+    assert values(E.invert_bayes(df, "p", 2).orderBy("pos"), "pe_0", "pe_1") == [(0.25, 0.75), (1.0, 0.0)]
+    assert E.interaction_estimates(v).first()["mean_pos"] == 0.5
+    assert values(E.vote_by_community(E.invert_bayes(df.where("pos = 0"), "p", 2), ["pe_0", "pe_1"], "comm"), "vote") == [(1,)]
+    two = spark.createDataFrame([(0, float(v)) for v in [1, 1.1, 1.2, 1, 1.1, 9, 9.1, 9.2, 9, 9.1]], "g int, v double")
+    out = E.valley_split(two, ["g"], "v")
+    assert out.where("(v < 5) <> (part = 0)").count() == 0 and abs(out.agg(F.avg("z")).first()[0]) < 1e-9
+    assert E.valley_split(two.limit(0), ["g"], "v").count() == 0
+    assert E.feature_families(["a_hi", "a_dyn_hi", "b"], {"hi": ["a", "hi"], "none": ["zz"]}) == {"hi": ["a_hi"]}
+    assert E.moved_right(["a", "b", "c"], ["a"]) == ["b", "c", "a"]
