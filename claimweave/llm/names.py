@@ -6,7 +6,7 @@ are those many organisations share, with their abbreviations and typing errors r
 learned list. Spellings of one form belong together. Forms are then ranked by frequency and fullness
 as canonical forms, and each form is attached to the candidate of highest posterior: the candidate's
 frequency prior times the likelihood of what separates the two: an initial for a name, a short form
-of it, a dropped middle initial, one typing error (insertion, deletion, substitution or swap) in the
+of it, a dropped middle initial, accented letters written as two (oe, ue, aa), one typing error (insertion, deletion, substitution or swap) in the
 given name or in the surname. A form that is explained by no candidate stays by itself.
 
 Scale: everything happens on distinct spellings. Candidates come from equal keys (surname or one
@@ -50,12 +50,14 @@ EMPTY_WORDS = {"of", "the", "and", "for", "de", "la", "di", "du", "der", "die",
 #: Share of all organisation spellings from which a word is a kind word. It bounds their list.
 KIND_SHARE = 0.01
 #: Log likelihoods of the channels.
-TYPO_SURNAME, TYPO_GIVEN, SHORT, INITIAL, NO_MIDDLE, ADDED_MIDDLE = -5.0, -4.5, -3.0, -2.0, -1.0, -6.0
+TYPO_SURNAME, TYPO_GIVEN, SHORT, INITIAL, PAIRED, NO_MIDDLE, ADDED_MIDDLE = -5.0, -4.5, -3.0, -2.0, -1.5, -1.0, -6.0
 #: A typed error is rarer than the form it comes from by this factor at least.
 RARER = 0.2
 
 _FOLD = str.maketrans({"ø": "o", "Ø": "O", "ß": "ss", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "ı": "i"})
 _LETTERS = re.compile(r"[^\W\d_]+")
+# Two-letter spellings of accented letters, and what the first group of each stands for.
+PAIRS = "(a)[ae]+|(o)e+|(u)e+"
 MOST_LETTERS = 64
 
 
@@ -237,24 +239,27 @@ def attribute(forms: DataFrame) -> DataFrame:
     short = F.create_map(*[F.lit(x) for k, v in SHORT_FORMS.items() for x in (k, v)])
     x = forms.join(heads, ["field", "head"]).join(bodies, ["field", "body"], "left").withColumn(
         "fulls", F.when(F.col("lexical") == 1, F.split(F.coalesce(short[F.col("body")], F.lit("")), " ")).otherwise(F.array(F.lit(""))))
-    x = cut(x)
+    x = cut(x.withColumn("flat", F.regexp_replace("head", PAIRS, "$1$2$3")))
     full, lexical = F.col("body") != "", F.col("lexical") == 1
     none = F.array().cast("array<bigint>")
     each = lambda a, make: F.transform(a, make)
     names = F.array_append(F.filter("fulls", lambda s: s != ""), F.col("body"))
     typed = F.when(full & lexical, each(_deletes("body"), lambda d: _keys("t", F.col("head"), d))).otherwise(none)
-    of_initial = F.when(lexical & (F.col("init") != ""), F.array_append(each(_deletes("head"), lambda d: _keys("x", d, F.col("init"))), _keys("i", F.col("head"), F.col("init")))).otherwise(none)
-    of_name = lambda ns: F.when(full, F.concat(each(ns, lambda g: _keys("g", F.col("head"), g)), F.flatten(each(ns, lambda g: each(_deletes("head"), lambda d: _keys("s", d, g)))))).otherwise(none)
-    own = ["id", "field", "head", "body", "init", "mid", "n", "head_n", "body_n", "fulls", "lexical"]
+    of_initial = F.when(lexical & (F.col("init") != ""), F.concat(each(_deletes("head"), lambda d: _keys("x", d, F.col("init"))), F.array(_keys("i", F.col("head"), F.col("init")), _keys("j", F.col("flat"), F.col("init"))))).otherwise(none)
+    of_name = lambda ns: F.when(full, F.concat(each(ns, lambda g: _keys("g", F.col("head"), g)), each(ns, lambda g: _keys("f", F.col("flat"), g)), F.flatten(each(ns, lambda g: each(_deletes("head"), lambda d: _keys("s", d, g)))))).otherwise(none)
+    own = ["id", "field", "head", "flat", "body", "init", "mid", "n", "head_n", "body_n", "fulls", "lexical"]
     as_variant = F.concat(of_name(names), typed, F.when(~full, of_initial).otherwise(none))
     as_canonical = F.concat(of_name(F.array(F.col("body"))), typed, of_initial)
     v = x.select(*[F.col(c).alias("v_" + c) for c in own], F.explode(F.array_distinct(as_variant)).alias("key"))
     c = x.select(*[F.col(c).alias("c_" + c) for c in own if c not in ("fulls", "lexical")], F.explode(F.array_distinct(as_canonical)).alias("key"))
     pairs = v.join(c, "key").where("v_id <> c_id and v_field = c_field")
     same_head, typo_head = F.col("v_head") == F.col("c_head"), _near("v_head", "c_head")
-    rare_head = (F.col("v_head_n") - F.col("v_n") <= RARER * F.col("c_head_n")) & (F.col("v_n") < F.col("c_n"))
-    head = F.when(same_head, F.lit(0.0)).when(typo_head & rare_head, F.lit(TYPO_SURNAME))
     initials, whole = F.col("v_body") == "", F.col("c_body") != ""
+    # The mistyped side is known by its surname's rarity, its own, or by having initials only.
+    less = (F.col("v_n") < F.col("c_n")) | ((F.col("v_n") == F.col("c_n")) & (F.col("v_head") > F.col("c_head")))
+    rare_head = (F.col("v_head_n") - F.col("v_n") <= RARER * F.col("c_head_n")) & (less | (F.col("v_head_n") < RARER * F.col("c_head_n")) | (initials & whole & (F.col("v_lexical") == 1)))
+    paired = F.col("v_flat") == F.col("c_flat")
+    head = F.when(same_head, F.lit(0.0)).when(paired, F.lit(PAIRED)).when(typo_head & rare_head, F.lit(TYPO_SURNAME))
     same_body = F.col("v_body") == F.col("c_body")
     typo_body = same_head & (F.col("v_lexical") == 1) & _near("v_body", "c_body") & (F.col("v_body_n") < RARER * F.col("c_body_n")) & ~initials & whole
     body = F.when(initials & whole & (F.col("v_init") == F.col("c_init")) & (F.col("v_lexical") == 1), F.lit(INITIAL)) \

@@ -5,10 +5,10 @@ from claimweave.llm import names as N
 PEOPLE = {
     "Ångaström, Michael L.": 80, "ANGASTROM, MICHAEL": 5, "Mike Ångaström": 4, "M.L. Ångaström": 6, "Ångaström ML": 3, "Ångastrom Mchael": 2,
     "Ångaström, Mei": 40, "Bakervan, Friedrich R.": 50, "Bakervan, Francisco L.": 60, "F.R. Bakervan": 4, "Bakervan, Fritz": 3, "Bakrevan, Friedrich": 3,
-    "Cortezal, Thomas K.": 50, "Cortezal, Tomas B.": 45, "Dunwell, Thomas": 30, "Easton, Tomas": 30, "Fargo, Michael": 20, "-": 1,
+    "Cortezal, Thomas K.": 50, "Cortezal, Tomas B.": 45, "Dunwell, Thomas": 30, "Easton, Tomas": 30, "Fargo, Michael": 20, "-": 1, "Grünaård, Olga T.": 9, "Gruenaaard, Olga": 4,
 }
 SAME = [{"Ångaström, Michael L.", "ANGASTROM, MICHAEL", "Mike Ångaström", "M.L. Ångaström", "Ångaström ML", "Ångastrom Mchael"},
-        {"Bakervan, Friedrich R.", "F.R. Bakervan", "Bakervan, Fritz", "Bakrevan, Friedrich"}]
+        {"Bakervan, Friedrich R.", "F.R. Bakervan", "Bakervan, Fritz", "Bakrevan, Friedrich"}, {"Grünaård, Olga T.", "Gruenaaard, Olga"}]
 
 
 def counts(spark, field, items):
