@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.operators.metrics import auc
+from claimweave.session import cut, drop_cuts
 
 
 def assemble(df: DataFrame, features: list[str], label: str | None = None) -> DataFrame:
@@ -147,27 +148,61 @@ def gap_statistic(df: DataFrame, features: list[str], ks: list[int], references:
     return out
 
 
-def leader_clusters(df: DataFrame, block: str, item: str, threshold: float) -> DataFrame:
-    """Leader clustering in each block: longest item first, each joins the first leader within the
-    edit ratio, else leads. Greedy by definition, so a block is one task; blocks must be of distinct
-    strings under a selective key."""
+def near_pairs(df: DataFrame, item: str, threshold: float) -> DataFrame:
+    """All pairs of distinct strings within the edit ratio: `first` is the longer one, or of equal
+    length the one that sorts first.
+
+    Exact: at most k = threshold * n edits turn the shorter string, of n letters, into the longer one.
+    So of k + 1 parts of the shorter one at least one stands unchanged in the longer one, moved by no
+    more than the edits beside it allow. Only strings that share such a part are compared.
+    """
     import pandas as pd
 
-    def ratio(a: str, b: str) -> float:
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            prev, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
-        return row[-1] / max(1, min(len(a), len(b)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        leaders, out = [], []
-        for s in sorted(pdf[item], key=lambda s: (-len(s), s)):
-            lead = next((x for x in leaders if abs(len(x) - len(s)) <= threshold * max(1, min(len(x), len(s))) and ratio(x, s) <= threshold), s)
-            if lead is s:
-                leaders.append(s)
-            out.append((s, lead))
-        return pd.DataFrame(out, columns=[item, "leader"])
-
-    return df.select(block, item).dropna().dropDuplicates().groupBy(block).applyInPandas(run, f"{item} string, leader string")
+    allowed = lambda n: int(threshold * max(1, n) + 1e-9)
+    parts = lambda n: [(n * i // (allowed(n) + 1), n * (i + 1) // (allowed(n) + 1)) for i in range(allowed(n) + 1)]
+
+    def of_shorter(frames):
+        for pdf in frames:
+            rows = [(s, len(s), i, s[a:b]) for s in pdf[item] for i, (a, b) in enumerate(parts(len(s)))]
+            yield pd.DataFrame(rows, columns=["second", "n", "i", "part"])
+
+    def of_longer(frames):
+        for pdf in frames:
+            rows = set()
+            for s in pdf[item]:
+                n = len(s)
+                while n >= 0 and (more := len(s) - n) <= (k := allowed(n)):
+                    for i, (a, b) in enumerate(parts(n)):
+                        rows.update((s, n, i, s[a + x:b + x]) for x in range(-((k - more) // 2), (k + more) // 2 + 1) if a + x >= 0 and b + x <= len(s))
+                    n -= 1
+            yield pd.DataFrame(list(rows), columns=["first", "n", "i", "part"])
+
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work
+    x = df.select(F.col(item).cast("string").alias(item)).dropna().distinct().repartition(tasks, item)
+    short = x.mapInPandas(of_shorter, "second string, n int, i int, part string")
+    long = x.mapInPandas(of_longer, "first string, n int, i int, part string")
+    longer = (F.length("first") > F.col("n")) | (F.col("first") < F.col("second"))
+    near = F.call_function("levenshtein", "first", "second", F.floor(F.lit(threshold) * F.greatest(F.lit(1), F.col("n")) + 1e-9).cast("int")) >= 0
+    return long.join(short, ["n", "i", "part"]).where(longer & near).select("first", "second").distinct()
+
+
+def leader_clusters(df: DataFrame, item: str, threshold: float) -> DataFrame:
+    """Leader clustering: longest item first, each joins the first leader within the edit ratio, else leads.
+
+    The greedy order is kept without one task for all: in a round every item whose earlier neighbours
+    are all settled as followers leads, and its later neighbours follow, until no pair is open.
+    """
+    items = cut(df.select(F.col(item).cast("string").alias(item)).dropna().distinct())
+    pairs = cut(near_pairs(items, item, threshold))
+    still, followers = pairs, items.select(item).limit(0)
+    while not still.isEmpty():
+        leads = still.select("first").join(still.select(F.col("second").alias("first")), "first", "left_anti").distinct()
+        follow = cut(still.join(leads, "first", "left_semi").select(F.col("second").alias(item)).distinct())
+        last, still = still, cut(still.join(follow.withColumnRenamed(item, "second"), "second", "left_anti").join(follow.withColumnRenamed(item, "first"), "first", "left_anti"))
+        followers = followers.unionByName(follow)
+        if last is not pairs:
+            drop_cuts(df.sparkSession, last)
+    followers = cut(followers)
+    first = pairs.join(followers.withColumnRenamed(item, "first"), "first", "left_anti").groupBy(F.col("second").alias(item)).agg(
+        F.min_by("first", F.struct(-F.length("first"), F.col("first"))).alias("leader"))
+    return items.join(followers.join(first, item), item, "left").select(item, F.coalesce("leader", item).alias("leader"))

@@ -243,9 +243,7 @@ def gap(spark, sf_dir):
 @query()
 def leader_clusters(spark, sf_dir):
     orgs = table(spark, sf_dir, "claims").select(F.explode(X.affiliation_units("affs")).alias("org")).distinct()
-    words = orgs.select("org", F.explode(X.clean_tokens(F.col("org"))).alias("w"))
-    rare = words.join(words.groupBy("w").agg(F.count(F.lit(1)).alias("f")), "w").groupBy("org").agg(F.max_by("w", F.struct(F.length("w"), -F.col("f"), F.col("w"))).alias("block"))
-    return L.leader_clusters(rare, "block", "org", 0.2)
+    return L.leader_clusters(orgs, "org", 0.2)
 
 
 @query("select claim_id, up, dn, pmid, year from claims where year > 0")
