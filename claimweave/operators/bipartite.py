@@ -95,11 +95,21 @@ def unit_classes(claims: DataFrame, units: DataFrame) -> DataFrame:
     return c.groupBy(*PAIR, "units").agg(F.min("pmid").alias("pmid"), F.count(F.lit(1)).alias("members"))
 
 
+def class_members(claims: DataFrame, units: DataFrame) -> DataFrame:
+    """One row per paper of an interaction with its class of equal unit sets (`class`: lowest pmid) and
+    the class's size. Papers of a class have similarity 1; with the pairs of classes that gives all pairs."""
+    lists = units.groupBy("pmid").agg(F.sort_array(F.collect_set("unit")).alias("units"))
+    papers = claims.select(*PAIR, "pmid").distinct().join(lists, "pmid")
+    classes = unit_classes(claims, units).withColumnRenamed("pmid", "class")
+    return papers.join(classes, [*PAIR, "units"]).select(*PAIR, "pmid", "class", "members")
+
+
 def similar_papers(claims: DataFrame, units: DataFrame, least: float = 0.5) -> DataFrame:
     """Pairs of unit-set classes of an interaction with Jaccard similarity >= least, with class sizes.
 
     Prefix filter: in the order from rare to frequent units, two sets that similar share one of the
-    first n - ceil(least * n) + 1 units of each, so only those are joined on. Copies are not expanded.
+    first n - ceil(least * n) + 1 units of each, so only those are joined on. Copies are not expanded;
+    `class_members` has them.
     """
     classes = cut(unit_classes(claims, units).withColumn("id", F.struct(*PAIR, "pmid")))
     freq = classes.select(*PAIR, F.explode("units").alias("unit")).groupBy(*PAIR, "unit").agg(F.count(F.lit(1)).alias("f"))

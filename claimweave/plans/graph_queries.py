@@ -70,6 +70,11 @@ def jaccard(spark, sf_dir):
     return rounded(G.similar_papers(claims(spark, sf_dir), paper_units(spark, sf_dir), 0.5), "jaccard")
 
 
+@query()
+def jaccard_members(spark, sf_dir):
+    return G.class_members(claims(spark, sf_dir), paper_units(spark, sf_dir))
+
+
 @query(WITH + """, f as (select up, dn, min(year) as year from c group by up, dn)
 select claim_id, """ + ", ".join(f"(select count(*) from f where f.{g} = c.{end} and f.year < c.year) as {end}_{k}" for end in ("up", "dn") for g, k in (("up", "out"), ("dn", "in"))) + " from c")
 def prev_degrees(spark, sf_dir):

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from claimweave.operators import models
+from claimweave.operators import bipartite, models
 
 
 def edits(a, b):
@@ -35,3 +35,18 @@ def test_leader_clusters_are_those_of_all_pairs(spark):
     assert {r["org"]: r["leader"] for r in got.collect()} == want
     assert want["bragamere university hospital"] == "braagamere university hospital"
     assert models.leader_clusters(got.select("org").limit(0), "org", 0.2).count() == 0
+
+
+def test_jaccard_and_members_give_all_pairs(spark):
+    sets = {1: "ab", 2: "ab", 3: "abc", 4: "xy", 5: "xy", 6: "xy", 7: "q", 8: "abc"}
+    c = spark.createDataFrame([(1, 2, p) for p in sets] + [(3, 4, 1), (3, 4, 9)], "up long, dn long, pmid long")
+    u = spark.createDataFrame([(p, x) for p, s in sets.items() for x in s], "pmid long, unit string")
+    members = {}
+    for r in bipartite.class_members(c, u).collect():
+        members.setdefault((r["up"], r["dn"], r["class"]), []).append(r["pmid"])
+        assert r["members"] == (1 if r["up"] == 3 else sum(set(s) == set(sets[r["pmid"]]) for s in sets.values()))
+    got = {(m[0], a, b): 1.0 for m, ps in members.items() for a in ps for b in ps if a < b}
+    for r in bipartite.similar_papers(c, u, 0.5).collect():
+        got |= {(r["up"], *sorted((a, b))): r["jaccard"] for a in members[r["up"], r["dn"], r["a"]] for b in members[r["up"], r["dn"], r["b"]]}
+    j = {(1, a, b): len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) for a in sets for b in sets if a < b}
+    assert got == {k: v for k, v in j.items() if v >= 0.5}
