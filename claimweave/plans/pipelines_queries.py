@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.functions.math import half_up, norm_cdf, norm_cdf_sql
 from claimweave.operators import bipartite as G
+from claimweave.operators import community as C
 from claimweave.operators import estimates as E
 from claimweave.operators import models as L
 from claimweave.operators import relational as R
 from claimweave.operators import sampling as P
 from claimweave.operators import windows as W
 from claimweave.operators.features import error_flags, level_distance, quantize
+from claimweave.session import cut
 from claimweave.sources.claims import WITH, claims, experiments, paper_units
 
 r6 = lambda x: f"round({x} + 1e-9, 6)"
@@ -41,11 +45,36 @@ def pipeline_final_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.withColumns({c: half_up(F.col(c)) for c in ("truth", "rdist", "obs_mu")})
 
 
+def graph_metrics(c: DataFrame, units: DataFrame, widths: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """Per claim, over windows of each width that end in its year: support of the interaction, affinity of
+    the paper, size, number and rank of the communities detected among the window's papers, and the
+    refutation vote: the majority of the claims of its community in the window's earlier years (null if
+    none). Papers without units are in no community."""
+    batch, paper = ["up", "dn", "look"], ["up", "dn", "look", "pmid"]
+    out = c.select("claim_id", "up", "dn", F.col("year").alias("look"), "pmid")
+    for w in widths:
+        support = G.support_index(c, units, w).select(*batch, F.col("support").alias(f"support{w}"))
+        affinity = G.affinity_index(c, units, w).select(*paper, F.col("affinity").alias(f"affinity{w}"))
+        out = out.join(support, batch, "left").join(affinity, paper, "left")
+    # The width is part of the group, so the communities of all windows are found in the same rounds.
+    group = ["width", *batch]
+    windows = cut(reduce(DataFrame.unionByName, [G.windowed(c, w).withColumn("width", F.lit(w)) for w in widths]))
+    edges = windows.join(units, "pmid").select(*group, F.concat(F.lit("p"), "pmid").alias("p"), F.concat(F.lit("u:"), "unit").alias("unit"))
+    labels = C.label_propagation(edges, group, "p", "unit", bipartite=True).where("node not like 'u:%'")
+    ranked = C.ranked_communities(C.community_table(labels, group), group, "label", "comm_size").withColumn("pmid", F.expr("substring(node, 2)").cast("long"))
+    members = cut(ranked.select(*group, "pmid", "label", "comm_size", "n_comms", "rank").join(c.select("up", "dn", "pmid", "year", "pos"), ["up", "dn", "pmid"]))
+    votes = C.earlier_majority(members, group, "label").where("year = look").select(*group, "label", "vote")
+    own = cut(members.where("year = look").join(votes, [*group, "label"], "left").select(*group, "pmid", "comm_size", "n_comms", "rank", "vote"))
+    for w in widths:
+        names = {n: f"{n}{w}" for n in ("comm_size", "n_comms", "rank", "vote")}
+        out = out.join(own.where(F.col("width") == w).drop("width").withColumnsRenamed(names), paper, "left")
+    return out
+
+
 def pipeline_graph_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Support and affinity over windows of 1 to 3 years side by side, joined on the claim's batch."""
-    c, u = claims(spark, sf_dir), paper_units(spark, sf_dir)
-    frames = [G.support_index(c, u, w).select("up", "dn", "look", F.round("support", 6).alias(f"support{w}")) for w in (1, 2, 3)]
-    return R.fold_join(frames, ["up", "dn", "look"])
+    """Support, affinity, ranked communities and refutation votes over windows of 1 to 3 years, joined to the claims."""
+    x = graph_metrics(claims(spark, sf_dir), paper_units(spark, sf_dir))
+    return x.withColumns({f"{n}{w}": F.round(f"{n}{w}", 6) for n in ("support", "affinity") for w in (1, 2, 3)})
 
 
 def pipeline_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from claimweave.operators import bipartite, models
+from claimweave.plans import pipelines_queries
 
 
 def edits(a, b):
@@ -50,3 +51,16 @@ def test_jaccard_and_members_give_all_pairs(spark):
         got |= {(r["up"], *sorted((a, b))): r["jaccard"] for a in members[r["up"], r["dn"], r["a"]] for b in members[r["up"], r["dn"], r["b"]]}
     j = {(1, a, b): len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) for a in sets for b in sets if a < b}
     assert got == {k: v for k, v in j.items() if v >= 0.5}
+
+
+def test_graph_metrics_have_communities_and_votes_per_claim(spark):
+    rows = [(10, 2000, 1, "ab"), (11, 2000, 1, "ab"), (12, 2000, 0, "x"), (13, 2001, 0, "ab"), (14, 2001, 1, "x"), (15, 2001, 1, ""), (16, 2003, 1, "ab")]
+    c = spark.createDataFrame([(p, 1, 2, p, y, v) for p, y, v, _ in rows], "claim_id long, up long, dn long, pmid long, year int, pos int")
+    u = spark.createDataFrame([(p, x) for p, _, _, s in rows for x in s], "pmid long, unit string")
+    got = {r["pmid"]: r for r in pipelines_queries.graph_metrics(c, u).collect()}
+    assert len(got) == len(rows)
+    # 13 is with 10 and 11, both positive; 14 with 12, negative; 15 has no units; 16 sees 13 only at width 3.
+    assert [got[p]["vote2"] for p in (10, 13, 14, 15, 16)] == [None, 1, 0, None, None] and got[16]["vote3"] == 0
+    assert [(got[p]["comm_size2"], got[p]["n_comms2"], got[p]["rank2"]) for p in (13, 14, 15)] == [(3, 2, 0), (2, 2, 1), (None, None, None)]
+    assert [round(got[p]["affinity2"], 6) for p in (13, 14, 15)] == [0.4, 0.2, 0.0] and all(got[p]["vote1"] is None for p in got)
+    assert got[13]["support1"] == got[14]["support1"] == got[15]["support1"] > 0
