@@ -138,7 +138,7 @@ def trimmed_range(spark, sf_dir):
 
 @query()
 def mcmc_pi(spark, sf_dir):
-    return B.mcmc_step(_batches(spark, sf_dir), 300)
+    return B.mcmc_step(_batches(spark, sf_dir), 10000)
 
 
 @query()

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from claimweave.operators import bipartite, models
+from claimweave.operators import bayes, bipartite, models
 from claimweave.plans import pipelines_queries
 
 
@@ -64,3 +64,14 @@ def test_graph_metrics_have_communities_and_votes_per_claim(spark):
     assert [(got[p]["comm_size2"], got[p]["n_comms2"], got[p]["rank2"]) for p in (13, 14, 15)] == [(3, 2, 0), (2, 2, 1), (None, None, None)]
     assert [round(got[p]["affinity2"], 6) for p in (13, 14, 15)] == [0.4, 0.2, 0.0] and all(got[p]["vote1"] is None for p in got)
     assert got[13]["support1"] == got[14]["support1"] == got[15]["support1"] > 0
+
+
+def test_step_model_starts_at_late_years_too(spark):
+    years = [(1, 2, 1970 + i, 0 if i < 35 else 20, 20) for i in range(40)] + [(3, 4, 1999, 1, 1)]
+    b = spark.createDataFrame(years, "up long, dn long, year int, k long, n long")
+    # After one draw the chain is where it starts, or one accepted move on.
+    out = {r["up"]: r for r in bayes.mcmc_step(b, 1, 0.0).collect()}
+    assert len(out) == 2 and 2003 < out[1]["t0"] < 2007 and out[1]["p0"] < 0.4 and out[1]["p1"] > 0.6
+    long = {r["up"]: r for r in bayes.mcmc_step(b, 4000).collect()}
+    assert long[1]["p0"] < 0.05 and long[1]["p1"] > 0.9 and 2004 < long[1]["t0"] <= 2005
+    assert 0.4 < long[3]["p0"] < 0.8 and 0.3 < long[3]["p1"] < 0.7
