@@ -99,6 +99,12 @@ def range_bins(spark, sf_dir):
     return R.in_bins(readings(spark, sf_dir), "ai", [0.0, 1.0, 2.0, 4.0, 10.0]).select("claim_id", "bin")
 
 
+@query("with " + READINGS_SQL + " select claim_id, case when ai < 1 then 0 when ai < 2 then 1 when ai < 4 then 2 when ai < 10 then 3 else 4 end as bin from readings where ai is not null")
+def range_bins_all(spark, sf_dir):
+    """As range_bins, with a bin from 10 to the end of the range (40)."""
+    return R.in_bins(readings(spark, sf_dir), "ai", [0.0, 1.0, 2.0, 4.0, 10.0, 41.0]).select("claim_id", "bin")
+
+
 @query("with " + READINGS_SQL + " select distinct up, dn, year from readings where origin = 'gw' and pos = 0")
 def equality_spec(spark, sf_dir):
     return R.matching(readings(spark, sf_dir), {"origin": "gw", "pos": 0}, ["up", "dn", "year"])
@@ -288,6 +294,14 @@ def binned_corr(spark, sf_dir):
     return rounded(out, "corr", "mean_pos", "std_exp")
 
 
+@query(WITH + f"select case when ar < 2 then 0 when ar < 4 then 1 when ar < 6 then 2 when ar < 8 then 3 else 4 end as bin, count(*) as n, {r6('corr(pos, cdf_exp)')} as corr, {r6('avg(pos)')} as mean_pos, {r6('stddev_pop(cdf_exp)')} as std_exp from c where cdf_exp is not null and ar is not null group by bin having count(*) > 4")
+def binned_corr_all(spark, sf_dir):
+    """As binned_corr, with a bin from 8 to the end of the range (10)."""
+    x = R.in_bins(claims(spark, sf_dir).where("cdf_exp is not null"), "ar", [0.0, 2.0, 4.0, 6.0, 8.0, 11.0])
+    out = x.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.corr("pos", "cdf_exp").alias("corr"), F.avg("pos").alias("mean_pos"), F.stddev_pop("cdf_exp").alias("std_exp")).where("n > 4")
+    return rounded(out, "corr", "mean_pos", "std_exp")
+
+
 @query(WITH + "".join([", x as (select origin, year % 3 as part, pos, cdf_exp, ai, ar from c where cdf_exp is not null and ai is not null and ar is not null) "] + [" union all ".join(
     f"select origin, part, count(*) as n, '{v}' as \"column\", {r6(f'corr({v}, cdf_exp)')} as corr from x group by origin, part having count(*) >= 10" for v in ("pos", "ai", "ar"))]))
 def corr_by_filter(spark, sf_dir):

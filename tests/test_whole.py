@@ -5,7 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from claimweave.operators import bayes, bipartite, models
-from claimweave.plans import pipelines_queries
+from claimweave.plans import pipelines_queries, relational_queries
+from claimweave.sources.claims import claims, readings
 
 
 def edits(a, b):
@@ -75,3 +76,11 @@ def test_step_model_starts_at_late_years_too(spark):
     long = {r["up"]: r for r in bayes.mcmc_step(b, 4000).collect()}
     assert long[1]["p0"] < 0.05 and long[1]["p1"] > 0.9 and 2004 < long[1]["t0"] <= 2005
     assert 0.4 < long[3]["p0"] < 0.8 and 0.3 < long[3]["p1"] < 0.7
+
+
+def test_bins_hold_every_measured_value(spark):
+    sf = "/root/testdata/sf0.01"
+    n = claims(spark, sf).where("cdf_exp is not null and ar is not null").count()
+    assert relational_queries.QUERIES["binned_corr_all"](spark, sf).agg(F.sum("n")).first()[0] == n
+    n = readings(spark, sf).where("ai is not null").count()
+    assert relational_queries.QUERIES["range_bins_all"](spark, sf).count() == n
