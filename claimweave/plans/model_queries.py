@@ -64,6 +64,25 @@ def trapezoid_auc(spark, sf_dir):
     return rounded(M.trapezoid(one, ["g"], "fpr", "tpr").select("area"), "area")
 
 
+_CURVE_99 = WITH + ", x as (select cdf_exp as s, pos from c where cdf_exp is not null), l as (select unnest(range(1, 100)) as level), q as (select quantile_cont(s, [" + ", ".join(f"{(i + 1) / 100}" for i in range(99)) + """]) as q from x),
+k as (select level, q[level] as cutoff from l, q), t as (select level, cutoff, count(*) filter (where s >= cutoff) as n, sum(pos) filter (where s >= cutoff) as tp, count(*) as a, sum(pos) as p from k, x group by all)"""
+
+
+@query(_CURVE_99 + f" select cast(level as integer) as level, {r6('cutoff')} as cutoff, {r6('tp / n')} as precision, {r6('tp / p')} as recall, {r6('(n - tp) / (a - p)')} as fpr from t")
+def topk_precision_99(spark, sf_dir):
+    """As topk_precision, at all 99 percentiles."""
+    return rounded(M.curve_at_percentiles(claims(spark, sf_dir), "cdf_exp", "pos"), "cutoff", "precision", "recall", "fpr")
+
+
+@query(_CURVE_99 + f", r as (select tp / p as tpr, (n - tp) / (a - p) as fpr from t union all select 0, 0 union all select 1, 1), m as (select round(fpr, 9) as fpr, max(tpr) as tpr from r group by round(fpr, 9)) select {r6('sum(s)')} as area from (select (lead(fpr) over (order by fpr) - fpr) * (lead(tpr) over (order by fpr) + tpr) / 2 as s from m)")
+def trapezoid_auc_99(spark, sf_dir):
+    """As trapezoid_auc, at all 99 percentiles."""
+    c = M.curve_at_percentiles(claims(spark, sf_dir), "cdf_exp", "pos").select(F.round("fpr", 9).alias("fpr"), F.col("recall").alias("tpr"))
+    ends = spark.createDataFrame([(0.0, 0.0), (1.0, 1.0)], "fpr double, tpr double")
+    one = c.unionByName(ends).withColumn("g", F.lit(0))
+    return rounded(M.trapezoid(one, ["g"], "fpr", "tpr").select("area"), "area")
+
+
 @query(_B + f""", s as (select up, dn, year as x, cast(n as double) as y, lead(year) over w as x2, cast(lead(n) over w as double) as y2, row_number() over w = 1 as f, lead(year, 2) over w is null as l from b window w as (partition by up, dn order by year)),
 g as (select unnest([1990e0, 2000e0, 2010e0]) as grid) select up, dn, grid, {r6('y + (grid - x) * (y2 - y) / (x2 - x)')} as value from s, g where x2 is not null and (grid >= x or f) and (grid < x2 or l)""")
 def interp_roc(spark, sf_dir):

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from claimweave.operators import bayes, bipartite, models
-from claimweave.plans import pipelines_queries, relational_queries
+from claimweave.plans import model_queries, pipelines_queries, relational_queries
 from claimweave.sources.claims import claims, readings
 
 
@@ -84,3 +84,11 @@ def test_bins_hold_every_measured_value(spark):
     assert relational_queries.QUERIES["binned_corr_all"](spark, sf).agg(F.sum("n")).first()[0] == n
     n = readings(spark, sf).where("ai is not null").count()
     assert relational_queries.QUERIES["range_bins_all"](spark, sf).count() == n
+
+
+def test_curves_have_all_percentiles(spark):
+    sf = "/root/testdata/sf0.01"
+    curve = model_queries.QUERIES["topk_precision_99"](spark, sf)
+    assert sorted(r["level"] for r in curve.collect()) == list(range(1, 100))
+    area, coarse = (model_queries.QUERIES[n](spark, sf).first()["area"] for n in ("trapezoid_auc_99", "trapezoid_auc"))
+    assert abs(area - coarse) < 0.05 and area != coarse
