@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: Folders of the cuts that are still there, by session folder.
+_LIVE: dict[str, list[str]] = {}
 
 
 def build_session(app: str = "claimweave", master: str | None = None, **conf: str) -> SparkSession:
@@ -31,30 +35,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _own_folder(master: str) -> str:
+    """A folder of this machine, for a master that runs everything on it."""
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors share: a folder of this machine is no use to those of {master}")
+    return "file://" + tempfile.mkdtemp(prefix="claimweave-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a local one only where it is unset."""
+    """The folder all executors share, from spark.checkpoint.dir. Where it is unset a local master gets
+    a temporary folder; any other master raises."""
     folder = spark.conf.get(CHECKPOINT_CONF, None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="claimweave-")
+        folder = _own_folder(spark.sparkContext.master)
         spark.conf.set(CHECKPOINT_CONF, folder)
     return folder.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: write `df` to the shared folder and read it again, so that a lost executor
-    costs no recomputation and later plans start from a columnar table of known size."""
-    path = f"{shared_folder(df.sparkSession)}/claimweave/{uuid.uuid4().hex}"
+    costs no recomputation and later plans start from a columnar table of known size.
+
+    The table stays until `drop_cuts` names it, or until the `scratch` it was made in is left."""
+    base = shared_folder(df.sparkSession)
+    path = f"{base}/claimweave/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _LIVE.setdefault(base, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_cuts(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete the files behind frames made by `cut` that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    live = _LIVE.get(shared_folder(spark), [])
     for df in frames:
-        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-        for folder in folders:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if "/claimweave/" in folder:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(conf).delete(path, True)
+                _delete(spark, folder)
+                name = folder.rsplit("/", 1)[1]
+                live[:] = [p for p in live if not p.endswith(name)]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """All cuts made inside are deleted on leaving, so write the result inside:
+
+        with scratch(spark):
+            fill_claims(claims).write.parquet(target)
+    """
+    live = _LIVE.setdefault(shared_folder(spark), [])
+    before = len(live)
+    try:
+        yield
+    finally:
+        for path in live[before:]:
+            _delete(spark, path)
+        del live[before:]
