@@ -6,7 +6,11 @@ Every node that beats all its neighbours in a seeded hash order is a seed (so ea
 one and no two seeds touch). Frontiers expand level by level, a reached node taking the lowest label
 offered. Edges between nodes of different labels are collisions; they make the next, smaller graph
 of seed labels, which is solved in the same way, and by one task once it is proven small. Splits are
-then cut along the hash order of the components.
+then cut along the hash order of the components, large and small alike.
+
+A hub node, and the label of a component that holds most nodes, are hot join keys: joins on them go
+through `skew_join`. The other joins have one row a node on both sides and are hinted to merge, so that
+nothing that grows with the data is broadcast.
 """
 
 from __future__ import annotations
@@ -26,9 +30,6 @@ SMALL_GRAPH = 1_000_000
 ADJACENCY = 10_000
 #: Nodes with spread neighbours that may be broadcast (16 bytes each).
 MOST_WIDE = 100_000
-#: A component above this share of all records is placed by itself, so at most 1 / share are.
-GIANT_SHARE = 0.005
-BUCKETS = 4096
 
 
 def _solve_small(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -80,29 +81,36 @@ def _components(spark, pairs: DataFrame, seed: int, small: int, depth: int = 0)
     adjacency = cut(adjacency.repartition("a", "part"))
     labels = nodes.where("is_seed").select("node", F.col("node").alias("label"), "parts")
     frontier = cut(labels)
-    done = [frontier]
+    done, past = [frontier], []
     while True:
         spread = frontier.select(F.col("node").alias("a"), "label", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        offered = adjacency.join(spread, ["a", "part"]).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("label"))
+        offered = adjacency.join(spread.hint("merge"), ["a", "part"]).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("label"))
         for old in done:
-            offered = offered.join(old.select("node"), "node", "left_anti")
-        reached = cut(offered.join(nodes.select("node", "parts"), "node"))
+            offered = offered.join(old.select("node").hint("merge"), "node", "left_anti")
+        reached = cut(offered.join(nodes.select("node", "parts").hint("merge"), "node"))
+        drop_cuts(spark, *past)
+        past = []
         if reached.isEmpty():
+            drop_cuts(spark, reached)
             break
         done.append(reached)
         if len(done) > 3:
-            done = [cut(_union(done))]
+            merged = cut(_union(done))
+            drop_cuts(spark, *done[:-1])
+            past, done = done[-1:], [merged]
         frontier = reached
     labelled = done[0].select("node", "label") if len(done) == 1 else cut(_union(done).select("node", "label"))
     l, r = labelled.select(F.col("node").alias("a"), F.col("label").alias("la")), labelled.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    met = pairs.join(l, "a").join(r, "b").where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+    met = skew_join(skew_join(pairs, l, "a", "inner"), r, "b", "inner").where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
     met = cut(met)
     if met.isEmpty():
-        return _lowest(labelled.withColumnRenamed("label", "root"))
+        out = _lowest(labelled.withColumnRenamed("label", "root"))
+        drop_cuts(spark, adjacency, nodes, met, *done, *([] if len(done) == 1 else [labelled]))
+        return out
     roots = _components(spark, met, seed, small, depth + 1).select(F.col("node").alias("label"), "root")
-    joined = labelled.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("root"))
+    joined = skew_join(labelled, roots, "label").select("node", F.coalesce("root", "label").alias("root"))
     out = _lowest(joined)
-    drop_cuts(spark, adjacency, nodes)
+    drop_cuts(spark, adjacency, nodes, met, *done, *([] if len(done) == 1 else [labelled]))
     return out
 
 
@@ -114,9 +122,9 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def _lowest(members: DataFrame) -> DataFrame:
-    """Roots renamed to the lowest node of their component; the groups are counted partially first."""
+    """Roots renamed to the lowest node of their component, which may hold most nodes."""
     low = members.groupBy("root").agg(F.min("node").alias("low"))
-    return cut(members.join(low, "root").select("node", F.col("low").alias("root")))
+    return cut(skew_join(members, low, "root", "inner").select("node", F.col("low").alias("root")))
 
 
 def related_roots(records: DataFrame, a: str, b: str, seed: int = 3, small: int = SMALL_GRAPH) -> DataFrame:
@@ -129,47 +137,47 @@ def related_roots(records: DataFrame, a: str, b: str, seed: int = 3, small: int
 def assign_splits(records: DataFrame, roots: DataFrame, shares: dict[str, float], a: str, b: str, ids: list[str], seed: int = 3) -> DataFrame:
     """`records` with `root` (null without a resolved id) and `split`.
 
-    Components above `GIANT_SHARE` of the records (at most 1 / GIANT_SHARE of them) go, largest
-    first, to the split that lacks most; the others are laid end to end in hash order and cut where
-    the remaining shares are full. A record without a resolved id is its own unit and is placed by
-    the hash of its ids. Equal ids get equal splits. Shares are relative to their sum.
+    All components are laid end to end in one hash order, weighted by their records, and each goes to
+    the split its middle falls in; a component is treated alike whatever its size, and what a giant one
+    makes unreachable is in `split_report`. A record without a resolved id is its own unit and is
+    placed by the hash of its ids. Equal ids get equal splits. Shares are relative to their sum. An
+    empty table gives an empty table.
     """
     spark = records.sparkSession
     key = F.coalesce(F.when(F.col(a) > 0, F.col(a)), F.when(F.col(b) > 0, F.col(b))).cast("long")
     own = [c for c in records.columns if c not in ("root", "split")]
-    keyed = skew_join(records.select(*own, key.alias("node")), roots, "node", "left").drop("node")
+    keyed = cut(skew_join(records.select(*own, key.alias("node")), roots, "node", "left").drop("node"))
     weight = keyed.where("root is not null").groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    weight = cut(weight.withColumn("h", F.xxhash64(F.lit(seed), "root")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int")))
-    total = weight.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    whole = sum(shares.values())
-    need = {s: v / whole * total for s, v in shares.items()}
-    limit = max(GIANT_SHARE * total, 1)
-    giants = weight.where(F.col("n") > limit).orderBy(F.desc("n"), "root").collect()
-    placed = []
-    for g in giants:
-        s = max(need, key=lambda k: need[k])
-        placed.append((g["root"], s))
-        need[s] -= g["n"]
-    rest = weight.where(F.col("n") <= limit)
-    buckets = rest.groupBy("bucket").agg(F.sum("n").alias("n")).orderBy("bucket").collect()
+    weight = cut(weight.withColumn("h", F.xxhash64(F.lit(seed), "root")).withColumn("bucket", F.shiftright("h", 52).cast("int")))
     before, run = [], 0
-    for r in buckets:
+    for r in weight.groupBy("bucket").agg(F.sum("n").alias("n")).orderBy("bucket").collect():
         before.append((r["bucket"], run))
         run += r["n"]
-    room = {s: max(v, 0.0) for s, v in need.items()}
-    scale = run / sum(room.values()) if sum(room.values()) else 0.0
+    whole = sum(shares.values())
     offset = F.broadcast(spark.createDataFrame(before, "bucket int, before long"))
     w = Window.partitionBy("bucket").orderBy("h", "root").rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("before") + F.sum("n").over(w) - F.col("n") / 2
-    rest = rest.join(offset, "bucket").select("root", _cut_at(middle, room, scale).alias("split"))
-    if placed:
-        rest = rest.unionByName(spark.createDataFrame(placed, "root long, split string"))
+    placed = weight.join(offset, "bucket").select("root", _cut_at(middle, shares, run / whole).alias("split"))
     loose = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *ids), 11) / F.lit(float(1 << 53))
     lone = keyed.where("root is null").withColumn("split", _cut_at(loose, shares, 1 / whole))
-    tied = skew_join(keyed.where("root is not null"), rest, "root", "inner")
+    tied = skew_join(keyed.where("root is not null"), placed, "root", "inner")
     return tied.select(*own, "root", "split").unionByName(lone.select(*own, "root", "split"))
 
 
+def split_report(assigned: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """Per split: `records`, `share` reached, `target_share`, and `largest_component`, the share of all
+    records in its largest component. A target below that share cannot be met by this split, nor can
+    shares be nearer than half of it to a cut that falls into that component."""
+    whole = sum(shares.values())
+    per = assigned.groupBy("split", "root").agg(F.count(F.lit(1)).alias("n"))
+    got = per.groupBy("split").agg(F.sum("n").alias("records"), F.max(F.when(F.col("root").isNotNull(), F.col("n"))).alias("top"))
+    total = got.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0] or 1
+    wanted = assigned.sparkSession.createDataFrame([(s, v / whole) for s, v in shares.items()], "split string, target_share double")
+    return wanted.join(F.broadcast(got), "split", "left").select(
+        "split", F.coalesce("records", F.lit(0)).alias("records"), (F.coalesce("records", F.lit(0)) / total).alias("share"), "target_share",
+        (F.coalesce("top", F.lit(0)) / total).alias("largest_component"))
+
+
 def _cut_at(position, shares: dict[str, float], scale: float):
     edge, out, names = 0.0, None, list(shares)
     for s in names[:-1]:

@@ -4,8 +4,8 @@ Tokens are summed per source once. A source's repetition rate in a mix is its ta
 tokens, capped at the allowed repeats. Each document is then emitted floor(rate) times plus one more
 copy if a hash of its id, the mix and the seed falls below the fraction: a Bernoulli draw that any
 executor repeats alike. There is no shuffle but the sum per source, which is combined on the map
-side, so a source with a third of the rows costs nothing extra; the targets are broadcast after a
-check of their number.
+side, so a source with a third of the rows costs nothing extra; the rates, one row a source, are
+joined so that those of the large sources reach its rows by broadcast.
 """
 
 from __future__ import annotations
@@ -14,11 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.llm.tokenize import count_tokens
+from claimweave.operators.skew import skew_join
 from claimweave.session import cut
 
-#: Rows of targets that may be broadcast (about 50 bytes each); beyond it a shuffle join is used.
-MOST_TARGETS = 100_000
-
 
 def source_name(c: str = "source") -> Column:
     """Source names compared trimmed and lower case; null is no source."""
@@ -48,19 +46,19 @@ def mix_rates(sized: DataFrame, targets: DataFrame) -> DataFrame:
     want = F.coalesce(F.when(F.col("__cw_sum") > 0, F.col("weight") / F.col("__cw_sum") * F.col("mix_frac") * F.lit(total)), F.lit(0.0))
     t = t.withColumn("target_tokens", want)
     rate = F.when(F.col("source_tokens") > 0, F.col("target_tokens") / F.col("source_tokens")).otherwise(F.lit(0.0))
-    return t.select(
+    return cut(t.select(
         "mix_id", "source", "weight", F.try_divide("weight", "__cw_sum").alias("target_share"), "max_repeats", "target_tokens", "source_tokens",
         F.greatest(F.lit(0.0), F.least(rate, F.col("max_repeats").cast("double"))).alias("rate"),
-        (F.col("max_repeats") * F.col("source_tokens") < F.col("target_tokens")).alias("falls_short"))
+        (F.col("max_repeats") * F.col("source_tokens") < F.col("target_tokens")).alias("falls_short")))
 
 
 def copies(sized: DataFrame, rates: DataFrame, ids: list[str], seed: int = 11) -> DataFrame:
     """`sized` per mix with `n_copies` (0 included): floor(rate) and one hash-seeded Bernoulli draw."""
-    r = rates.select("mix_id", "source", "rate")
-    r = F.broadcast(r) if rates.count() <= MOST_TARGETS else r
+    per = rates.groupBy("source").agg(F.collect_list(F.struct("mix_id", "rate")).alias("__cw_r"))
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "mix_id", *ids), 11) / F.lit(float(1 << 53))
     whole = F.floor("rate")
-    return sized.join(r, "source").withColumn("n_copies", (whole + (u < F.col("rate") - whole).cast("long")).cast("int")).drop("rate")
+    every = skew_join(sized, per, "source", "inner").withColumn("__cw_r", F.explode("__cw_r")).select(*sized.columns, "__cw_r.*")
+    return every.withColumn("n_copies", (whole + (u < F.col("rate") - whole).cast("long")).cast("int")).drop("rate")
 
 
 def draw_mix(sized: DataFrame, rates: DataFrame, ids: list[str], seed: int = 11) -> DataFrame:

@@ -3,15 +3,19 @@
 A spelling is read as a form: for persons (surname, given name, initial, middle initial) whatever the
 order, case, accents and separators; for organisations (name words, kind words), where kind words
 are those many organisations share, with their abbreviations and typing errors resolved against that
-learned list. Spellings of one form belong together. Forms are then ranked by frequency and fullness
+learned list. A word is an abbreviation of a kind word that it begins if a dot marks it, if it is
+listed, or if it was seen in its place beside the names of several organisations; else it is a name
+("Tech Institute" is not the "Institute of Technology"). Spellings of one form belong together. Forms are then ranked by frequency and fullness
 as canonical forms, and each form is attached to the candidate of highest posterior: the candidate's
 frequency prior times the likelihood of what separates the two: an initial for a name, a short form
 of it, a dropped middle initial, accented letters written as two (oe, ue, aa), one typing error (insertion, deletion, substitution or swap) in the
 given name or in the surname. A form that is explained by no candidate stays by itself.
 
 Scale: everything happens on distinct spellings. Candidates come from equal keys (surname or one
-letter less of it, with the given name, its short forms, one letter less of it, or the initial), so
-a key's block holds namesakes only and no pairs of unrelated names are made. Attribution is one
+letter less of it, with the given name, its short forms, one letter less of it, or the initial; of a
+long word both ends in place of one letter less, as one error leaves an end as it is), so a key's
+block holds namesakes only and no pairs of unrelated names are made. In a block only forms of
+initials meet all the given names of a surname; they are as many as there are initials. Attribution is one
 `max_by` a form; links form trees, which are resolved with the frontier components operator.
 """
 
@@ -45,10 +49,14 @@ SHORT_FORMS = {
     "theo": "theodore", "tim": "timothy", "toby": "tobias", "tom": "thomas tomas", "tony": "anthony antonio", "trish": "patricia",
     "vicky": "victoria", "volodya": "vladimir", "vova": "vladimir", "will": "william", "wolf": "wolfgang",
 }
+# Abbreviations of kind words in common use, known without being marked by a dot.
+ABBREVIATIONS = {"u", "univ", "inst", "institut", "hosp", "bio", "biosci", "biochem", "biol", "genet", "immunol", "lab", "neurosci", "oncol", "pharmacol", "physiol"}
 # Words that do not tell organisations apart (articles, links, legal forms).
 EMPTY_WORDS = {"of", "the", "and", "for", "de", "la", "di", "du", "der", "die", "und", "et", "at", "in", "ltd", "limited", "inc", "llc", "plc", "gmbh", "ag", "co", "corp", "sa"}
 #: Share of all organisation spellings from which a word is a kind word. It bounds their list.
 KIND_SHARE = 0.01
+#: Organisations beside which a word must be seen in place of the kind word it begins to abbreviate it.
+SEEN_SHORT = 3
 #: Log likelihoods of the channels.
 TYPO_SURNAME, TYPO_GIVEN, SHORT, INITIAL, PAIRED, NO_MIDDLE, ADDED_MIDDLE = -5.0, -4.5, -3.0, -2.0, -1.5, -1.0, -6.0
 #: A typed error is rarer than the form it comes from by this factor at least.
@@ -58,7 +66,8 @@ _FOLD = str.maketrans({"ø": "o", "Ø": "O", "ß": "ss", "ł": "l", "Ł": "L", "
 _LETTERS = re.compile(r"[^\W\d_]+")
 # Two-letter spellings of accented letters, and what the first group of each stands for.
 PAIRS = "(a)[ae]+|(o)e+|(u)e+"
-MOST_LETTERS = 64
+#: Words with more letters have their two ends as keys in place of one letter less.
+LONG = 16
 
 
 @lru_cache(100_000)
@@ -69,8 +78,8 @@ def fold(text: str) -> str:
 
 
 def person_readings(spelling: str) -> list[tuple[str, str, str, str]]:
-    """(surname, given, initial, middle) the spelling can stand for, lower case without accents;
-    given is empty where there are only initials. Without a comma two long words give two readings.
+    """(surname, given, initial, middle) the spelling can stand for, lower case without accents; middle
+    are all initials after the first; given is empty where there are only initials. Without a comma two long words give two readings.
     A spelling without letters reads as itself."""
     text = fold(spelling)
     caps = text.upper() == text
@@ -84,8 +93,8 @@ def person_readings(spelling: str) -> list[tuple[str, str, str, str]]:
             else:
                 initials += w.lower() if len(w) <= 3 and (w.isupper() or len(w) == 1) else w[0].lower()
         if given:
-            return given, given[0], initials[:1]
-        return "", initials[:1], initials[1:2]
+            return given, given[0], initials
+        return "", initials[:1], initials[1:]
 
     if comma and _LETTERS.search(surname) and _LETTERS.search(rest):
         return [(" ".join(_LETTERS.findall(surname)).lower(), *given_part(_LETTERS.findall(rest)))]
@@ -119,15 +128,21 @@ def near(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] or (a[i : i + 2] == b[i + 1 : i - 1 if i else None : -1] and a[i + 2 :] == b[i + 2 :])
 
 
-def organisation_form(words: list[str], kinds: dict[str, int]) -> tuple[str, str]:
-    """(name words, kind words), each sorted; `kinds` are the learned kind words with frequencies."""
+def marked_short(spelling: str) -> set[str]:
+    """The words a dot marks as cut short."""
+    return set(re.findall(r"[^\W\d_]+(?=\.)", fold(spelling).lower()))
+
+
+def organisation_form(words: list[str], kinds: dict[str, int], short: set[str] = frozenset()) -> tuple[str, str]:
+    """(name words, kind words), each sorted; `kinds` are the learned kind words with frequencies,
+    `short` the words that may abbreviate them."""
     known = frozenset(kinds)
     full = sorted(kinds, key=lambda k: (-kinds[k], k))
 
     def resolve(w: str) -> str | None:
         if w in EMPTY_WORDS:
             return ""
-        if len(w) >= 2 or w == "u":
+        if w in short:
             longer = [k for k in full if len(k) > len(w) and k.startswith(w) and kinds[k] > kinds.get(w, 0) * 0.2]
             if longer:
                 return resolve(longer[0]) or longer[0] if longer[0] != w else w
@@ -188,6 +203,28 @@ def person_forms(counts: DataFrame) -> DataFrame:
     return sure.select("field", "spelling", "n", "head", "body", "init", "mid").unionByName(chosen)
 
 
+def seen_short(counts: DataFrame, kinds: dict[str, int]) -> set[str]:
+    """Words seen in place of a kind word that they begin, beside the same name words, for at least
+    `SEEN_SHORT` sets of name words. There are at most as many as the kind words have letters."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for s in pdf["spelling"]:
+                words = {p for w in organisation_words(s) for p in w.split("-")} - EMPTY_WORDS
+                begins = {w: [k for k in kinds if len(k) > len(w) and k.startswith(w)] for w in words}
+                names = " ".join(sorted(w for w in words if w not in kinds and not begins[w]))
+                if names:
+                    rows += [(k, names, "") for k in words if k in kinds] + [(k, names, w) for w, ks in begins.items() for k in ks]
+            yield pd.DataFrame(rows, columns=["kind", "names", "short"], dtype="object")
+
+    if not kinds:
+        return set()
+    seen = counts.mapInPandas(run, "kind string, names string, short string").groupBy("kind", "names").agg(F.collect_set("short").alias("shorts"))
+    both = seen.where(F.array_contains("shorts", "")).select("kind", F.explode("shorts").alias("short")).where("short <> ''")
+    return {r["short"] for r in both.groupBy("kind", "short").count().where(F.col("count") >= SEEN_SHORT).select("short").distinct().collect()}
+
+
 def organisation_forms(counts: DataFrame) -> DataFrame:
     """A row per spelling with its form: head the name words, body the kind words."""
     total = counts.count()
@@ -200,10 +237,11 @@ def organisation_forms(counts: DataFrame) -> DataFrame:
     # Spellings have few words, so at most words / KIND_SHARE of them reach the share: a short list.
     share = counts.mapInPandas(split, "word string").groupBy("word").count().where(F.col("count") >= F.lit(max(KIND_SHARE * total, 4)))
     kinds = {r["word"]: r["count"] for r in share.collect() if r["word"] not in EMPTY_WORDS}
+    short = ABBREVIATIONS | seen_short(counts, kinds)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            forms = [organisation_form(organisation_words(s), kinds) for s in pdf["spelling"]]
+            forms = [organisation_form(organisation_words(s), kinds, short | marked_short(s)) for s in pdf["spelling"]]
             heads = [h or k for h, k in forms]
             yield pdf[["field", "spelling", "n"]].assign(head=heads, body=[k for _, k in forms], init="", mid="")
 
@@ -211,10 +249,21 @@ def organisation_forms(counts: DataFrame) -> DataFrame:
 
 
 def _deletes(c: str) -> Column:
-    """The word and the word with each one of its letters left out. Words beyond MOST_LETTERS have none left out."""
+    """Keys of which two words one error apart share one, as do equal words.
+
+    Short words: the word and the word with each one of its letters left out. Words of more than
+    `LONG` letters: their first and last h letters. With h half the length less one, an error (which
+    touches two neighbouring letters at most) leaves one of the two as it is. Lengths differ by one at
+    most, so the ends are taken for h of the length, and of one less where that differs; around
+    `LONG` a word has keys of both sorts.
+    """
     size = F.length(c)
     gone = F.transform(F.sequence(F.lit(1), size), lambda i: F.concat(F.substring(F.col(c), F.lit(1), i - 1), F.substring(F.col(c), i + 1, size)))
-    return F.when((size > 0) & (size <= MOST_LETTERS), F.array_append(gone, F.col(c))).otherwise(F.array(F.col(c)))
+    # The h of a word of n letters and of the one that is longer by one are both among those of n - 1 and n.
+    ends = F.flatten(F.transform(F.array_distinct(F.array(F.floor((size - 1) / 2), F.floor(size / 2))), lambda half: F.array(
+        F.concat(F.lit("<"), F.substring(F.col(c), F.lit(1), half.cast("int") - 1)), F.concat(F.lit(">"), F.substring(F.col(c), size - half.cast("int") + 2, size)))))
+    none = F.array().cast("array<string>")
+    return F.concat(F.array(F.col(c)), F.when((size > 0) & (size <= LONG + 1), gone).otherwise(none), F.when(size > LONG, ends).otherwise(none))
 
 
 def _near(a: str, b: str) -> Column:
@@ -265,8 +314,9 @@ def attribute(forms: DataFrame) -> DataFrame:
     body = F.when(initials & whole & (F.col("v_init") == F.col("c_init")) & (F.col("v_lexical") == 1), F.lit(INITIAL)) \
         .when(initials & ~whole & (F.col("v_init") == F.col("c_init")), F.lit(2 * INITIAL)) \
         .when(same_body, F.lit(0.0)).when(F.array_contains("v_fulls", F.col("c_body")), F.lit(SHORT)).when(typo_body, F.lit(TYPO_GIVEN))
+    # Middle initials agree as far as both have them: one is the beginning of the other.
     same_mid = F.col("v_mid") == F.col("c_mid")
-    mid = F.when(same_mid, F.lit(0.0)).when(F.col("v_mid") == "", F.lit(NO_MIDDLE)).when((F.col("c_mid") == "") & ~(same_head & same_body), F.lit(ADDED_MIDDLE))
+    mid = F.when(same_mid, F.lit(0.0)).when(F.startswith("c_mid", "v_mid"), F.lit(NO_MIDDLE)).when(F.startswith("v_mid", "c_mid") & ~(same_head & same_body), F.lit(ADDED_MIDDLE))
     likelihood = head + body + mid
     # What leaves both equal but in frequency (one typing error either way) goes to the more frequent one.
     posterior = F.log(F.col("c_n").cast("double")) + likelihood
@@ -297,7 +347,8 @@ def link_variants(people: DataFrame | None, organisations: DataFrame | None, see
 
 
 def variant_pairs(linked: DataFrame) -> DataFrame:
-    """`field`, `name_a` < `name_b` (byte order): pairs of spellings of one entity."""
+    """`field`, `name_a` < `name_b` (byte order): pairs of spellings of one entity. A report: its rows
+    grow with the square of an entity's spellings. `link_variants` has one row a spelling instead."""
     a = linked.select("field", "entity", F.col("spelling").alias("name_a"))
     b = linked.select("field", "entity", F.col("spelling").alias("name_b"))
     return a.join(b, ["field", "entity"]).where("name_a < name_b").select("field", "name_a", "name_b")

@@ -38,11 +38,19 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roots.select(F.col("node").alias("gene"), F.col("root").alias("root_gene"))
 
 
-def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, float]]:
     claims = table(spark, sf_dir, "claims").select("claim_id", "up", "dn")
     roots = linked_splits.related_roots(claims, "up", "dn")
     shares = {r["split_name"]: r["share"] for r in table(spark, sf_dir, "split_targets").orderBy(F.desc("share"), "split_name").collect()}
-    return linked_splits.assign_splits(claims, roots, shares, "up", "dn", ["claim_id"]).select("claim_id", "root", "split")
+    return linked_splits.assign_splits(claims, roots, shares, "up", "dn", ["claim_id"]), shares
+
+
+def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _splits(spark, sf_dir)[0].select("claim_id", "root", "split")
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_splits.split_report(*_splits(spark, sf_dir))
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +105,7 @@ def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _languages(spark, sf_dir).select("doc_id", "main_lang", F.round("main_confidence", 4).alias("confidence"), "label_wrong", "segments")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p2_found, p2_splits, p3_found, p3_entities, p6_ids, p7_found, p7_mix, p7_report, p8_found, p8_languages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p2_found, p2_splits, p2_report, p3_found, p3_entities, p6_ids, p7_found, p7_mix, p7_report, p8_found, p8_languages)}
 
 SQL = {
     "p1_found": """

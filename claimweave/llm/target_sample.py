@@ -11,6 +11,7 @@ bucket that is split, so that no task ranks more than `MOST_RANKED` rows of a ce
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -19,9 +20,11 @@ from pyspark.sql import functions as F
 
 #: Rows of one bucket of the hash that may be ranked in a task.
 MOST_RANKED = 50_000
-BITS, HASH_BITS = 10, 60
-#: Target rows that may be held on the driver and broadcast.
-MOST_TARGETS = 100_000
+HASH_BITS = 60
+#: Rows of a histogram of the hash that may come to the driver; more draws mean fewer buckets each.
+MOST_BUCKETS = 1 << 18
+#: Signatures of steepest and of flattest slope whose exchanges are tried first; cells of one block of all others.
+STEEPEST, BLOCK = 64, 1 << 20
 HASH, SET = "__cw_h", "__cw_set"
 
 
@@ -39,35 +42,48 @@ def swap_repair(counts: np.ndarray, available: np.ndarray, member: np.ndarray, t
     """Exchange signature counts until no exchange lowers the squared deviation of the category counts.
 
     member: [signature, category] 0/1, so categories may overlap (marginal targets) or be the
-    signatures themselves; targets and floors: rows per category.
+    signatures themselves; targets and floors: rows per category. Exchanges are looked for among the
+    signatures of steepest and flattest slope, which hold the best one where categories do not
+    overlap; before it stops all exchanges are tried, block by block.
     """
     counts, member = counts.astype(np.int64).copy(), member.astype(np.float64)
     norms = (member**2).sum(1)
-    cost = norms[:, None] + norms[None, :] - 2 * member @ member.T
-    np.fill_diagonal(cost, np.inf)
-    cost[cost == 0] = np.inf
-    while len(counts) > 1:
-        per = counts @ member
-        slope = member @ (per - targets)
-        spare = np.where(member > 0, np.maximum(per - floors, 0)[None, :], np.inf).min(1)
-        most = np.minimum(np.minimum(counts, np.floor(spare))[:, None], (available - counts)[None, :])
-        gain = slope[:, None] - slope[None, :]
+
+    def best(give: np.ndarray, take: np.ndarray, slope: np.ndarray, spare: np.ndarray) -> tuple[float, int, int, int]:
+        cost = norms[give, None] + norms[None, take] - 2 * member[give] @ member[take].T
+        cost[(give[:, None] == take[None, :]) | (cost == 0)] = np.inf
+        most = np.minimum(np.minimum(counts[give], spare[give])[:, None], (available - counts)[None, take])
+        gain = slope[give, None] - slope[None, take]
         k = np.clip(np.round(gain / cost), 0, most)
         change = k * k * np.where(np.isinf(cost), 0, cost) - 2 * k * gain
         a, b = np.unravel_index(np.argmin(change), change.shape)
-        if change[a, b] >= -1e-9:
+        return float(change[a, b]), int(give[a]), int(take[b]), int(k[a, b])
+
+    every = np.arange(len(counts))
+    while len(counts) > 1:
+        per = counts @ member
+        slope = member @ (per - targets)
+        spare = np.array([np.floor(np.maximum(per - floors, 0)[m > 0].min()) if (m > 0).any() else np.inf for m in member])
+        order = np.argsort(-slope, kind="stable")
+        give, take = order[np.minimum(counts, spare)[order] > 0], order[(available - counts)[order] > 0]
+        if not len(give) or not len(take):
+            break
+        found = best(give[:STEEPEST], take[::-1][:STEEPEST], slope, spare)
+        if found[0] >= -1e-9 and max(len(give), len(take)) > STEEPEST:
+            step = max(BLOCK // len(every), 1)
+            found = min(best(give[i : i + step], take, slope, spare) for i in range(0, len(give), step))
+        change, a, b, k = found
+        if change >= -1e-9:
             break
-        counts[a] -= int(k[a, b])
-        counts[b] += int(k[a, b])
+        counts[a] -= k
+        counts[b] += k
     return counts
 
 
 def plan(available: DataFrame, targets: DataFrame, cell: list[str], total: int, seed: int = 5) -> list[dict]:
     """Counts to draw per set and cell. `available`: cell and `count`; `targets`: `set_id`, cell,
-    `share`, `min_rows`, `draw_frac`."""
-    rows = targets.limit(MOST_TARGETS + 1).collect()
-    if len(rows) > MOST_TARGETS:
-        raise ValueError(f"more than {MOST_TARGETS} target rows")
+    `share`, `min_rows`, `draw_frac`. Targets are a report's rows, stated by hand, and are held here."""
+    rows = targets.collect()
     have = {tuple(r[c] for c in cell): r["count"] for r in available.collect()}
     sets, out = defaultdict(list), []
     for r in rows:
@@ -80,7 +96,7 @@ def plan(available: DataFrame, targets: DataFrame, cell: list[str], total: int,
         avail = np.array([have.get(tuple(r[c] for c in cell), 0) for r in members], np.int64)
         floors = np.minimum(least, avail)
         size = int(min(max(round(frac * total), floors.sum()), avail.sum()))
-        start = random_start(avail, floors, size, np.random.default_rng([seed, abs(hash(str(set_id))) % 1000 if isinstance(set_id, str) else int(set_id)]))
+        start = random_start(avail, floors, size, np.random.default_rng([seed, zlib.crc32(str(set_id).encode())]))
         drawn = swap_repair(start, avail, np.eye(len(members)), share * size, floors)
         for r, s, a, n in zip(members, share, avail, drawn):
             needed = max(float(r["min_rows"] or 0), s * frac * total)
@@ -130,7 +146,8 @@ def _draw(x: DataFrame, rows: list[dict], names: list[str], ids: list[str], kind
     hashed = x.join(F.broadcast(cells), names).withColumn(
         HASH, F.shiftrightunsigned(F.xxhash64(F.lit(seed), SET, *ids), 64 - HASH_BITS))
     while todo := {k: v for k, v in open_.items() if not v["done"]}:
-        bits = max(max(v["bits"] for v in todo.values()) - BITS, 0)
+        fine = max((MOST_BUCKETS // len(todo)).bit_length() - 1, 1)
+        bits = max(max(v["bits"] for v in todo.values()) - fine, 0)
         bounds = spark.createDataFrame([(*k, v["low"], v["low"] + (1 << v["bits"])) for k, v in todo.items()], f"{SET} {kind}, {kinds}, __cw_low long, __cw_high long")
         hist = hashed.join(F.broadcast(bounds), [SET, *names]).where((F.col(HASH) >= F.col("__cw_low")) & (F.col(HASH) < F.col("__cw_high"))) \
             .groupBy(SET, *names, F.shiftright(HASH, bits).alias("__cw_b")).count().collect()
