@@ -9,8 +9,6 @@ results are united. The sketch decides only the path; results are exact on both.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,9 +40,21 @@ def heavy_keys(df: DataFrame, keys: dict[str, Column], min_share: float = 0.01,
     return {n: [x["item"] for x in row[n] or [] if x["item"] is not None and x["count"] >= max(1, least)] for n in keys}, row["__n"]
 
 
-def _heavy_frame(df: DataFrame, values: list[str]) -> DataFrame:
-    frame = df.sparkSession.createDataFrame([(v,) for v in values], f"{KEY} string")
-    return F.broadcast(frame.withColumn(HEAVY, F.lit(True)))
+def _stats(x: DataFrame, keys: list[str], heavy: DataFrame | None, salts: int) -> DataFrame:
+    """Sums of `__cw_value` per key; the keys of `heavy` by broadcast and in `salts` parts, the others by a shuffle."""
+    part = [F.count(F.lit(1)).alias("n"), F.count("__cw_value").alias("m"), F.sum("__cw_value").alias("s")]
+    merge = [F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("s").alias("s")]
+    if heavy is None:
+        united = x.groupBy(*keys).agg(*part)
+    else:
+        tagged = x.join(F.broadcast(heavy.withColumn(HEAVY, F.lit(True))), keys, "left")
+        salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+        hot = tagged.where(F.col(HEAVY)).withColumn(SALT, salt).groupBy(*keys, SALT).agg(*part).groupBy(*keys).agg(*merge)
+        united = hot.unionByName(tagged.where(F.col(HEAVY).isNull()).groupBy(*keys).agg(*part))
+    return united.select(
+        *[c for c in keys if c != KEY], F.col(KEY).alias("key_text"), F.col("n").alias("n_rows"), F.col("m").alias("n_values"),
+        F.when(F.col("m") > 0, F.col("s") / F.col("m")).alias("mean_value"),
+    )
 
 
 def balanced_stats(df: DataFrame, key: list[str], value: Column, heavy: list[str], salts: int = 64) -> DataFrame:
@@ -56,47 +66,42 @@ def balanced_stats(df: DataFrame, key: list[str], value: Column, heavy: list[str
     summed as doubles; for 0/1 flags every sum is exact, so both paths give the same figure.
     """
     x = df.select(key_text(key).alias(KEY), value.cast("double").alias("__cw_value")).where(F.col(KEY).isNotNull())
-    part = [F.count(F.lit(1)).alias("n"), F.count("__cw_value").alias("m"), F.sum("__cw_value").alias("s")]
-    merge = [F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("s").alias("s")]
-    if heavy:
-        tagged = x.join(_heavy_frame(df, heavy), KEY, "left")
-        salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
-        first = tagged.where(F.col(HEAVY)).withColumn(SALT, salt).groupBy(KEY, SALT).agg(*part).groupBy(KEY).agg(*merge)
-        parts = [first, tagged.where(F.col(HEAVY).isNull()).groupBy(KEY).agg(*part)]
-    else:
-        parts = [x.groupBy(KEY).agg(*part)]
-    return reduce(DataFrame.unionByName, parts).select(
-        F.col(KEY).alias("key_text"), F.col("n").alias("n_rows"), F.col("m").alias("n_values"),
-        F.when(F.col("m") > 0, F.col("s") / F.col("m")).alias("mean_value"),
-    )
+    return _stats(x, [KEY], df.sparkSession.createDataFrame([(v,) for v in heavy], f"{KEY} string") if heavy else None, salts)
 
 
 def balanced_levels(df: DataFrame, levels: dict[str, list[str]], value: Column, min_share: float = 0.01, salts: int = 64) -> DataFrame:
-    """`balanced_stats` at several key levels, with the level's name in `key_level` and the share of
-    all rows of `df` (whether they have a key or not) in `row_share`. An empty table gives no rows."""
+    """`balanced_stats` at several key levels at once, with the level's name in `key_level` and the share
+    of all rows of `df` (whether they have a key or not) in `row_share`. The table is read once to find
+    the heavy keys of all levels, and once for each of the two paths. An empty table gives no rows."""
     names = {n: key_text(c) for n, c in levels.items()}
     heavy, rows = heavy_keys(df, names, min_share)
-    united = reduce(DataFrame.unionByName, [
-        balanced_stats(df, cols, value, heavy[n], salts).withColumn("key_level", F.lit(n)) for n, cols in levels.items()
-    ])
-    return united.withColumn("row_share", F.col("n_rows") / F.lit(rows).cast("double"))
+    keys = F.array(*[F.when(e.isNotNull(), F.struct(F.lit(n).alias("key_level"), e.alias(KEY))) for n, e in names.items()])
+    x = df.select(value.cast("double").alias("__cw_value"), F.explode(F.array_compact(keys)).alias("__cw_k")).select("__cw_value", "__cw_k.*")
+    hot = [(n, v) for n, vs in heavy.items() for v in vs]
+    found = _stats(x, ["key_level", KEY], df.sparkSession.createDataFrame(hot, f"key_level string, {KEY} string") if hot else None, salts)
+    return found.withColumn("row_share", F.col("n_rows") / F.lit(rows).cast("double"))
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: str, how: str = "left", min_share: float = 0.01) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, on: str, how: str = "left", min_share: float = 0.01, merge: bool = False) -> DataFrame:
     """Equi-join of a skewed `left` with a `right` that has one row a key at most.
 
     The rows of `right` for the heavy keys of `left` (2 / `min_share` at most) are broadcast to
-    theirs; the remaining rows of both sides take an ordinary shuffle join. `how` is `left` or
-    `inner`. A null key matches nothing, and null-keyed rows skip the shuffle in a left join.
+    theirs; the remaining rows of both sides take an ordinary join, with `merge` one that shuffles
+    however small `right` is now. `how` is `left` or `inner`. A null key matches nothing, and
+    null-keyed rows take part in no join: they are left out or, in a left join, added as they are.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"how must be left or inner, not {how}")
     values = heavy_keys(left, {"k": F.col(on)}, min_share)[0]["k"]
+    other = right.hint("merge") if merge else right
+    known, kind = left.where(F.col(on).isNotNull()), left.schema[on].dataType
+    if how == "left":
+        absent = left.where(F.col(on).isNull()).select(on, *[c for c in left.columns if c != on], *[F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name != on])
     if not values:
-        return left.join(right, on, how)
-    kind = left.schema[on].dataType
+        out = known.join(other, on, how)
+        return out.unionByName(absent) if how == "left" else out
     marks = left.sparkSession.createDataFrame([(v,) for v in values], f"{KEY} string").select(F.col(KEY).cast(kind).alias(on))
     is_heavy = F.col(on).isin([v for v in values]) if kind.typeName() == "string" else F.col(on).cast("string").isin(values)
-    heavy = left.where(is_heavy).join(F.broadcast(right.join(F.broadcast(marks), on, "left_semi")), on, how)
-    rest = left.where(~F.coalesce(is_heavy, F.lit(False))).join(right, on, how)
-    return heavy.unionByName(rest)
+    heavy = known.where(is_heavy).join(F.broadcast(right.join(F.broadcast(marks), on, "left_semi")), on, how)
+    out = heavy.unionByName(known.where(~is_heavy).join(other, on, how))
+    return out.unionByName(absent) if how == "left" else out
