@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -342,50 +343,43 @@ SEGMENTS = T.ArrayType(T.StructType([
 _SEGMENTS = pa.list_(pa.struct([("seg_start", pa.int32()), ("seg_end", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())]))
 
 
-def analyse(texts: list[str | None], model: Model) -> tuple[list, list, list]:
-    """Main language, its confidence, and the segments of each text."""
+def analyse(texts: list[str | None], model: Model) -> list[pa.Array]:
+    """Main language, its confidence, and the segments of each text; all texts of a batch at once."""
     found = [sized_sentences(t) if model.fitted else [] for t in texts]
-    flat = [x[2] for f in found for x in f]
-    codes = [*model.codes, UNKNOWN]
-    langs = len(codes) - 1
-    mains, confidences, segments = [], [], []
-    total, grams = score(flat, model) if flat else (np.zeros((0, langs)), np.zeros(0))
+    flat = [x for f in found for x in f]
+    codes, langs = pa.array([*model.codes, UNKNOWN], pa.string()), len(model.codes)
+    count = np.array([len(f) for f in found], np.int64)
+    none = pa.array(count == 0)
+    if not flat:
+        return [pa.nulls(len(texts), pa.string()), pa.nulls(len(texts), pa.float64()), pa.array([[]] * len(texts), _SEGMENTS)]
+    start, end, sizes = (np.array([x[i] for x in flat], np.float64 if i == 3 else np.int32) for i in (0, 1, 3))
+    doc, each = np.repeat(np.arange(len(texts)), count), np.arange(len(flat))
+    total, grams = score([x[2] for x in flat], model)
     per = total / np.maximum(grams, 1)[:, None]
     # A sentence's evidence is tempered: neighbouring grams overlap and are far from independent.
-    soft = np.exp((total - total.max(1, keepdims=True)) / 6.0) if flat else total
-    soft /= np.maximum(soft.sum(1, keepdims=True), 1e-300)
-    at = 0
-    for f in found:
-        n = len(f)
-        t, g, p, s, at = total[at : at + n], grams[at : at + n], per[at : at + n], soft[at : at + n], at + n
-        if not n:
-            mains.append(None)
-            confidences.append(None)
-            segments.append([])
-            continue
-        sizes = np.array([x[3] for x in f], float)
-        best = p.argmax(1)
-        main = int(np.bincount(best, sizes, langs).argmax())
-        best = np.where(p.max(1) - p[:, main] < LEAVE, main, best)
-        main = int(np.bincount(best, sizes, langs).argmax())
-        own = best == main
-        if model.floor.size and t[own, main].sum() / g[own].sum() < model.floor[main]:
-            # Far from all that is known: no language is more than a guess.
-            mains.append(UNKNOWN)
-            confidences.append(0.0)
-            segments.append([{"seg_start": f[0][0], "seg_end": f[-1][1], "lang": UNKNOWN, "confidence": 0.0}])
-            continue
-        mains.append(codes[main])
-        confidences.append(float((s[:, main] * sizes).sum() / sizes.sum()))
-        rows, low = [], 0
-        for i in range(1, n + 1):
-            if i == n or best[i] != best[low]:
-                w = sizes[low:i]
-                rows.append({"seg_start": f[low][0], "seg_end": f[i - 1][1], "lang": codes[int(best[low])],
-                             "confidence": float((s[low:i, best[low]] * w).sum() / w.sum())})
-                low = i
-        segments.append(rows)
-    return mains, confidences, segments
+    soft = np.exp((total - total.max(1, keepdims=True)) / 6.0)
+    soft /= soft.sum(1, keepdims=True)
+    most = lambda best: np.bincount(doc * langs + best, sizes, len(texts) * langs).reshape(-1, langs).argmax(1)
+    per_doc = lambda x: np.bincount(doc, x, len(texts))
+    best = per.argmax(1)
+    main = most(best)
+    best = np.where(per.max(1) - per[each, main[doc]] < LEAVE, main[doc], best)
+    main = most(best)
+    own = best == main[doc]
+    sure = per_doc(soft[each, main[doc]] * sizes) / np.maximum(per_doc(sizes), 1)
+    if model.floor.size:
+        # Far from all that is known: no language is more than a guess.
+        far = per_doc(np.where(own, total[each, main[doc]], 0)) / np.maximum(per_doc(np.where(own, grams, 0)), 1) < model.floor[main]
+        main, sure = np.where(far, langs, main), np.where(far, 0.0, sure)
+        best = np.where(far[doc], langs, best)
+        soft = np.column_stack([soft, np.zeros(len(flat))])
+    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (best[1:] != best[:-1])])
+    last = np.r_[first[1:], len(flat)] - 1
+    weight = np.add.reduceat(soft[each, best] * sizes, first) / np.add.reduceat(sizes, first)
+    runs = pa.StructArray.from_arrays([pa.array(start[first]), pa.array(end[last]), codes.take(pa.array(best[first])), pa.array(weight)], fields=list(_SEGMENTS.value_type))
+    offsets = np.searchsorted(doc[first], np.arange(len(texts) + 1)).astype(np.int32)
+    null = lambda a: pc.if_else(none, pa.nulls(len(a), a.type), a)
+    return [null(codes.take(pa.array(main))), null(pa.array(sure)), pa.ListArray.from_arrays(pa.array(offsets), runs).cast(_SEGMENTS)]
 
 
 def detect(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -410,10 +404,8 @@ def detect(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang"
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                mains, sure, segs = analyse(part.column(part.num_columns - 1).to_pylist(), shared.value)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(mains, pa.string()), pa.array(sure, pa.float64()), pa.array(segs, _SEGMENTS)],
-                    names=[*part.schema.names[:-1], *names])
+                more = analyse(part.column(part.num_columns - 1).to_pylist(), shared.value)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *more], names=[*part.schema.names[:-1], *names])
 
     out = source.mapInArrow(run, schema)
     code = label_code(lang, model.languages)

@@ -101,14 +101,14 @@ def _components(spark, pairs: DataFrame, seed: int, small: int, depth: int = 0)
         frontier = reached
     labelled = done[0].select("node", "label") if len(done) == 1 else cut(_union(done).select("node", "label"))
     l, r = labelled.select(F.col("node").alias("a"), F.col("label").alias("la")), labelled.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    met = skew_join(skew_join(pairs, l, "a", "inner"), r, "b", "inner").where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+    met = skew_join(skew_join(pairs, l, "a", "inner", merge=True), r, "b", "inner", merge=True).where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
     met = cut(met)
     if met.isEmpty():
         out = _lowest(labelled.withColumnRenamed("label", "root"))
         drop_cuts(spark, adjacency, nodes, met, *done, *([] if len(done) == 1 else [labelled]))
         return out
     roots = _components(spark, met, seed, small, depth + 1).select(F.col("node").alias("label"), "root")
-    joined = skew_join(labelled, roots, "label").select("node", F.coalesce("root", "label").alias("root"))
+    joined = skew_join(labelled, roots, "label", merge=True).select("node", F.coalesce("root", "label").alias("root"))
     out = _lowest(joined)
     drop_cuts(spark, adjacency, nodes, met, *done, *([] if len(done) == 1 else [labelled]))
     return out
@@ -124,7 +124,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 def _lowest(members: DataFrame) -> DataFrame:
     """Roots renamed to the lowest node of their component, which may hold most nodes."""
     low = members.groupBy("root").agg(F.min("node").alias("low"))
-    return cut(skew_join(members, low, "root", "inner").select("node", F.col("low").alias("root")))
+    return cut(skew_join(members, low, "root", "inner", merge=True).select("node", F.col("low").alias("root")))
 
 
 def related_roots(records: DataFrame, a: str, b: str, seed: int = 3, small: int = SMALL_GRAPH) -> DataFrame:
@@ -146,7 +146,7 @@ def assign_splits(records: DataFrame, roots: DataFrame, shares: dict[str, float]
     spark = records.sparkSession
     key = F.coalesce(F.when(F.col(a) > 0, F.col(a)), F.when(F.col(b) > 0, F.col(b))).cast("long")
     own = [c for c in records.columns if c not in ("root", "split")]
-    keyed = cut(skew_join(records.select(*own, key.alias("node")), roots, "node", "left").drop("node"))
+    keyed = cut(skew_join(records.select(*own, key.alias("node")), roots, "node", merge=True).drop("node"))
     weight = keyed.where("root is not null").groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     weight = cut(weight.withColumn("h", F.xxhash64(F.lit(seed), "root")).withColumn("bucket", F.shiftright("h", 52).cast("int")))
     before, run = [], 0
@@ -160,7 +160,7 @@ def assign_splits(records: DataFrame, roots: DataFrame, shares: dict[str, float]
     placed = weight.join(offset, "bucket").select("root", _cut_at(middle, shares, run / whole).alias("split"))
     loose = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *ids), 11) / F.lit(float(1 << 53))
     lone = keyed.where("root is null").withColumn("split", _cut_at(loose, shares, 1 / whole))
-    tied = skew_join(keyed.where("root is not null"), placed, "root", "inner")
+    tied = skew_join(keyed.where("root is not null"), placed, "root", "inner", merge=True)
     return tied.select(*own, "root", "split").unionByName(lone.select(*own, "root", "split"))
 
 
