@@ -52,3 +52,36 @@ def test_held_out_values_are_recovered(spark):
     out = fill_claims(claims.withColumn("truth", F.col("ai")).withColumn("ai", F.when(~held, F.col("ai")))).where(held & F.col("truth").between(0, 40) & (F.col("truth") != 0.7712))
     error, spread = out.agg(F.avg(F.abs(F.col("ai_filled") - F.col("truth"))), F.stddev("truth")).first()
     assert error < 0.25 * spread
+
+
+def test_held_out_ratings_and_categories_are_recovered(spark):
+    claims = spark.read.parquet("/root/testdata/sf0.01/claims.parquet")
+    held = F.pmod(F.xxhash64("pmid"), F.lit(10)) == 0
+    out = fill_claims(claims.withColumn("truth", F.col("ar")).withColumn("ar", F.when(~held, F.col("ar")))).where(held & F.col("truth").between(0, 10))
+    error, spread = out.agg(F.avg(F.abs(F.col("ar_filled") - F.col("truth"))), F.stddev("truth")).first()
+    assert error < 0.6 * spread
+    # A categorical field: the journal of a claim from other claims of the paper, else of the pair.
+    some = F.pmod(F.xxhash64("claim_id"), F.lit(10)) == 0
+    fill = Fill("journal", F.when(~some, F.col("journal")), ("paper", "pair"), "categorical")
+    x = fill_from_similar(claims, [fill], {"paper": F.col("pmid"), "pair": F.concat_ws("|", "up", "dn")}, {"year": F.col("year")}, {"origin": F.col("origin")})
+    hit = F.avg((F.col("journal_filled") == F.col("journal")).cast("int"))
+    known = x.where(some & F.col("journal").isNotNull())
+    assert known.where("journal_method like 'paper%'").agg(hit).first()[0] > 0.9 and x.where(~some & (F.col("journal_filled") != F.col("journal"))).count() == 0
+
+
+def test_a_prototype_that_knows_little_draws_no_rows(spark):
+    from claimweave.operators.impute import CLUSTER, Prototypes, _assign
+    p = Prototypes(["x", "y"], ["c"], [[None, None], [0.0, 0.0]], [["a"], ["a"]], [1.0, 1.0])
+    df = spark.createDataFrame([(5.0, 5.0, "a"), (0.1, 0.1, "a"), (None, None, "a")], "x double, y double, c string")
+    got = [r[CLUSTER] for r in _assign(df, p, 1.0).collect()]
+    assert got == [0, 1, 0]
+    rows = [(None, None, "a")] * 50 + [(float(i % 2 * 9), float(i % 2 * 9), "a") for i in range(40)]
+    q = k_prototypes(spark.createDataFrame(rows, "x double, y double, c string"), ["x", "y"], ["c"], k=2)
+    assert sorted(m[0] for m in q.means) == [0.0, 9.0]
+
+
+def test_hot_group_and_null_keys_keep_all_rows(spark):
+    rows = [(i, 1 if i % 2 else (None if i % 3 else i), "A", 2000, None if i % 5 == 0 else 1.0, "u" if i % 7 else None, "c") for i in range(3000)]
+    out = run(spark.createDataFrame(rows, SCHEMA))
+    assert out.count() == 3000 and out.where("x_filled is null or kind_filled is null").count() == 0
+    assert out.where("x_was_missing").count() == 600
