@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.operators.skew import skew_join
+from claimweave.operators.skew import heavy_keys, salted_join
 from claimweave.session import cut
 
 P = "__cw_"
@@ -196,8 +196,10 @@ def fill_from_similar(df: DataFrame, fills: list[Fill], keys: dict[str, Column],
     full, part = rows.where(~gap), rows.where(gap)
     for f in fills:
         full = full.withColumn(f"{f.name}_filled", F.col(f"{P}v_{f.name}")).withColumn(f"{f.name}_method", F.lit("observed"))
+    missing = reduce(Column.__or__, [F.col(f"{P}v_{f.name}").isNull() for f in fills])
+    heavy = heavy_keys(narrow.where(missing), {key: F.col(f"{P}k_{key}") for key in lookups}, 0.02, 1000)[0] if lookups else {}
     for key, lookup in lookups.items():
-        part = skew_join(part, lookup, f"{P}k_{key}", "left")
+        part = salted_join(part, lookup, f"{P}k_{key}", heavy[key])
     for f in fills:
         v, kind = F.col(f"{P}v_{f.name}"), df.select(f.valid.alias("v")).schema["v"].dataType
         chain = [(v, F.lit("observed"))]

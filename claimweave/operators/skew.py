@@ -105,3 +105,15 @@ def skew_join(left: DataFrame, right: DataFrame, on: str, how: str = "left", min
     heavy = known.where(is_heavy).join(F.broadcast(right.join(F.broadcast(marks), on, "left_semi")), on, how)
     out = heavy.unionByName(known.where(~is_heavy).join(other, on, how))
     return out.unionByName(absent) if how == "left" else out
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: str, heavy: list[str], salts: int = 16) -> DataFrame:
+    """Left join of a `left` whose keys in `heavy` (of `heavy_keys`) hold many rows each with a `right` that
+    has one row a key at most: those rows of `right` are repeated `salts` times and the heavy rows of
+    `left` meet them in as many tasks. Null keys match nothing and are spread likewise. One join, no
+    union, so that many can follow one another without the plan growing by branches."""
+    key = F.col(on).cast("string")
+    hot = key.isin(heavy) if heavy else F.lit(False)
+    salt = F.when(F.col(on).isNull() | hot, F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    every = F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    return left.withColumn(SALT, salt).join(right.withColumn(SALT, every), [on, SALT], "left").drop(SALT)

@@ -36,3 +36,18 @@ def test_skew_join_equals_join(spark, rows, how):
     got, want = S.skew_join(rows, right, "k", how), rows.join(right, "k", how)
     assert got.exceptAll(want.select(*got.columns)).count() == 0 and got.count() == want.count()
     assert S.skew_join(rows.limit(0), right, "k", how).count() == 0
+
+
+def test_salted_join_equals_join_and_splits_the_hot_key(spark, rows):
+    right = spark.createDataFrame([(7, "hot"), (101, "cold"), (5000, "unused")], "k long, name string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got, want = S.salted_join(rows, right, "k", ["7"]), rows.join(right, "k", "left")
+        parts = sorted(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect())
+        assert got.select(*want.columns).exceptAll(want).count() == 0 and got.count() == want.count()
+        assert parts[-1] < 3 * parts[len(parts) // 2]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert S.salted_join(rows, right, "k", []).count() == want.count()
