@@ -345,7 +345,8 @@ _SEGMENTS = pa.list_(pa.struct([("seg_start", pa.int32()), ("seg_end", pa.int32(
 
 def analyse(texts: list[str | None], model: Model) -> list[pa.Array]:
     """Main language, its confidence, and the segments of each text; all texts of a batch at once."""
-    found = [sized_sentences(t) if model.fitted else [] for t in texts]
+    fitted = model.fitted
+    found = [sized_sentences(t) if fitted else [] for t in texts]
     flat = [x for f in found for x in f]
     codes, langs = pa.array([*model.codes, UNKNOWN], pa.string()), len(model.codes)
     count = np.array([len(f) for f in found], np.int64)
