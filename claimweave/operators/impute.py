@@ -85,16 +85,19 @@ def _start(df: DataFrame, numeric: list[str], categorical: list[str], k: int, se
     scan, in which every task keeps its k lowest only."""
     cols = [*numeric, *categorical]
     gaps = reduce(Column.__add__, [F.col(c).isNull().cast("int") for c in cols])
-    # Equal rows have equal hashes, so a few more than k hold k distinct ones unless rows repeat often.
-    lowest = df.select(gaps.alias("g"), F.xxhash64(F.lit(seed), *cols).alias("h"), *cols).groupBy("g", "h").agg(*[F.first(c).alias(c) for c in cols])
-    rows = lowest.orderBy("g", "h").limit(k).collect()
+    hashed = df.select(gaps.alias("g"), F.xxhash64(F.lit(seed), *cols).alias("h"), *cols)
+    # Equal rows have equal hashes; where they repeat so often that the lowest hold too few, all are told apart first.
+    lowest = hashed.orderBy("g", "h").limit(8 * k).collect()
+    rows = list({(r["g"], r["h"]): r for r in lowest}.values())[:k]
+    if len(rows) < k and len(lowest) == 8 * k:
+        rows = hashed.distinct().orderBy("g", "h").limit(k).collect()
     spread = df.agg(*[F.stddev_pop(c).alias(c) for c in numeric]).first() if numeric else {}
     scales = [float(spread[c]) if spread[c] else 1.0 for c in numeric]
     return Prototypes(numeric, categorical, [[r[c] for c in numeric] for r in rows] or [[None] * len(numeric)],
                       [[r[c] for c in categorical] for r in rows] or [[None] * len(categorical)], scales)
 
 
-def k_prototypes(df: DataFrame, numeric: list[str], categorical: list[str], k: int = 8, rounds: int = 6,
+def k_prototypes(df: DataFrame, numeric: list[str], categorical: list[str], k: int = 8, rounds: int = 4,
                  gamma: float = 1.0, seed: int = 7, settled: float = 0.05) -> Prototypes:
     """Fit k prototypes over all rows; `numeric` columns are doubles, `categorical` strings, nulls
     are features not observed. Starts from k distinct rows, complete ones first. Ends when no mean
@@ -152,7 +155,7 @@ def _category_groups(seen: DataFrame, kc: str, key: str, f: Fill) -> DataFrame:
 
 
 def fill_from_similar(df: DataFrame, fills: list[Fill], keys: dict[str, Column], numeric: dict[str, Column],
-                      categorical: dict[str, Column], k: int = 8, rounds: int = 6, gamma: float = 1.0) -> DataFrame:
+                      categorical: dict[str, Column], k: int = 8, rounds: int = 4, gamma: float = 1.0) -> DataFrame:
     """All rows and columns of `df`, with three columns added for each fill:
 
     `<name>_filled` the observed or filled value, `<name>_was_missing` the mark, and `<name>_method`:
@@ -221,12 +224,13 @@ def _centres(seen: DataFrame, fills: list[Fill]) -> tuple[dict[str, dict], dict]
     numbers = [f for f in fills if f.kind == "numeric"]
     if numbers:
         sketch = [F.percentile_approx(f"{P}v_{f.name}", 0.5, ACCURACY).alias(f.name) for f in numbers]
-        for r in seen.groupingSets([[CLUSTER], []], CLUSTER).agg(*sketch).collect():
-            for f in numbers:
-                if r[CLUSTER] is None:
-                    overall[f.name] = r[f.name]
-                elif r[f.name] is not None:
-                    by[f.name][r[CLUSTER]] = r[f.name]
+        rows = seen.groupBy(CLUSTER).agg(*sketch).collect()
+        for f in numbers:
+            by[f.name] = {r[CLUSTER]: r[f.name] for r in rows if r[f.name] is not None}
+        # A centre of all rows is asked for only where a cluster has none.
+        if any(r[f.name] is None for r in rows for f in numbers):
+            whole = seen.agg(*sketch).first()
+            overall |= {f.name: whole[f.name] for f in numbers}
     for f in fills:
         if f.kind == "numeric":
             continue
