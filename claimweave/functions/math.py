@@ -8,12 +8,23 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Coefficients of the rational approximation 7.1.26 of erf by Abramowitz and Stegun.
-ERF = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
-ERF_P = 0.3275911
-# 26.2.23 of the same book, the normal quantile in a tail.
-PPF_TOP = (2.515517, 0.802853, 0.010328)
-PPF_BOTTOM = (1.432788, 0.189269, 0.001308)
+# Hart's rational approximation of the upper normal tail, highest power first.
+CDF_TOP = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+CDF_BOTTOM = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+CDF_FAR = 7.07106781186547
+# Wichura's algorithm AS 241 for the normal quantile (centre, tail, far tail), highest power first.
+PPF_CENTRE = ((2.5090809287301226727e+3, 3.3430575583588128105e+4, 6.7265770927008700853e+4, 4.5921953931549871457e+4, 1.3731693765509461125e+4, 1.9715909503065514427e+3, 1.3314166789178437745e+2, 3.3871328727963666080e+0),
+              (5.2264952788528545610e+3, 2.8729085735721942674e+4, 3.9307895800092710610e+4, 2.1213794301586595867e+4, 5.3941960214247511077e+3, 6.8718700749205790830e+2, 4.2313330701600911252e+1, 1.0))
+PPF_TAIL = ((7.74545014278341407640e-4, 2.27238449892691845833e-2, 2.41780725177450611770e-1, 1.27045825245236838258e+0, 3.64784832476320460504e+0, 5.76949722146069140550e+0, 4.63033784615654529590e+0, 1.42343711074968357734e+0),
+            (1.05075007164441684324e-9, 5.47593808499534494600e-4, 1.51986665636164571966e-2, 1.48103976427480074590e-1, 6.89767334985100004550e-1, 1.67638483018380384940e+0, 2.05319162663775882187e+0, 1.0))
+PPF_FAR = ((2.01033439929228813265e-7, 2.71155556874348757815e-5, 1.24266094738807843860e-3, 2.65321895265761230930e-2, 2.96560571828504891230e-1, 1.78482653991729133580e+0, 5.46378491116411436990e+0, 6.65790464350110377720e+0),
+           (2.04426310338993978564e-15, 1.42151175831644588870e-7, 1.84631831751005468180e-5, 7.86869131145613259100e-4, 1.48753612908506148525e-2, 1.36929880922735805310e-1, 5.99832206555887937690e-1, 1.0))
+# Lanczos' approximation of the gamma function with g = 7.
+LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
+
+
+def _polynomial(x: Column, coefficients: tuple[float, ...]) -> Column:
+    return reduce(lambda acc, c: acc * x + F.lit(c), coefficients[1:], F.lit(coefficients[0]))
 
 
 def half_up(x: Column, digits: int = 6) -> Column:
@@ -22,30 +33,38 @@ def half_up(x: Column, digits: int = 6) -> Column:
 
 
 def norm_cdf(x: Column) -> Column:
-    z = F.abs(x) / F.lit(math.sqrt(2.0))
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(ERF_P) * z)
-    poly = reduce(lambda acc, c: acc * t + F.lit(c), reversed(ERF[:-1]), F.lit(ERF[-1]))
-    erf = F.lit(1.0) - poly * t * F.exp(-z * z)
-    return F.when(x >= 0, F.lit(0.5) * (F.lit(1.0) + erf)).otherwise(F.lit(0.5) * (F.lit(1.0) - erf))
+    """Normal distribution function, to double precision; relative accuracy holds in the lower tail."""
+    z = F.abs(x)
+    e = F.exp(F.lit(-0.5) * z * z)
+    fraction = reduce(lambda acc, k: z + F.lit(float(k)) / acc, (4, 3, 2, 1), z + F.lit(0.65))
+    tail = F.when(z < CDF_FAR, e * _polynomial(z, CDF_TOP) / _polynomial(z, CDF_BOTTOM)).otherwise(e / fraction / F.lit(math.sqrt(2 * math.pi)))
+    return F.when(x > 0, F.lit(1.0) - tail).otherwise(tail)
 
 
 def norm_ppf(p: Column, eps: float = 1e-6) -> Column:
-    """Normal quantile with p clipped to [eps, 1 - eps]."""
-    q = F.greatest(F.lit(eps), F.least(F.lit(1.0 - eps), p))
-    tail = F.when(q < 0.5, q).otherwise(F.lit(1.0) - q)
-    t = F.sqrt(F.lit(-2.0) * F.log(tail))
-    a, b = PPF_TOP, PPF_BOTTOM
-    z = t - (F.lit(a[0]) + t * (F.lit(a[1]) + t * F.lit(a[2]))) / (F.lit(1.0) + t * (F.lit(b[0]) + t * (F.lit(b[1]) + t * F.lit(b[2]))))
-    return F.when(q < 0.5, -z).otherwise(z)
+    """Normal quantile with p clipped to [eps, 1 - eps], to double precision."""
+    p = F.greatest(F.lit(eps), F.least(F.lit(1.0 - eps), p))
+    q = p - F.lit(0.5)
+    r = F.lit(0.180625) - q * q
+    t = F.sqrt(-F.log(F.least(p, F.lit(1.0) - p)))
+    centre = q * _polynomial(r, PPF_CENTRE[0]) / _polynomial(r, PPF_CENTRE[1])
+    near, far = t - F.lit(1.6), t - F.lit(5.0)
+    tail = F.when(t <= 5, _polynomial(near, PPF_TAIL[0]) / _polynomial(near, PPF_TAIL[1])).otherwise(_polynomial(far, PPF_FAR[0]) / _polynomial(far, PPF_FAR[1]))
+    return F.when(F.abs(q) <= 0.425, centre).when(q < 0, -tail).otherwise(tail)
 
 
 def norm_cdf_sql(x: str) -> str:
-    t = f"(1e0 / (1e0 + {ERF_P} * abs({x}) / {math.sqrt(2.0)!r}))"
-    poly = str(ERF[-1])
-    for c in reversed(ERF[:-1]):
-        poly = f"({poly} * {t} + {c})"
-    erf = f"(1e0 - {poly} * {t} * exp(-({x}) * ({x}) / 2e0))"
-    return f"(case when {x} >= 0 then 0.5e0 * (1e0 + {erf}) else 0.5e0 * (1e0 - {erf}) end)"
+    """The distribution function in SQL by another way: its power series, by Horner's rule."""
+    series = f"list_reduce([1e0] || list_transform(range(0, 120), lambda i: 2e0 * (119 - i) + 3), lambda a, n: 1 + a * ({x}) * ({x}) / n)"
+    return f"(case when {x} > 8 then 1e0 when {x} < -8 then 0e0 else 0.5e0 + ({x}) * exp(-({x}) * ({x}) / 2e0) / {math.sqrt(2 * math.pi)!r} * {series} end)"
+
+
+def log_gamma(x: Column) -> Column:
+    """log of the gamma function for x > 0, in closed form whatever its size."""
+    y = x.cast("double")
+    t = y + F.lit(6.5)
+    series = reduce(lambda acc, i: acc + F.lit(LANCZOS[i]) / (y + F.lit(float(i - 1))), range(1, len(LANCZOS)), F.lit(LANCZOS[0]))
+    return F.lit(0.5 * math.log(2 * math.pi)) + (y - F.lit(0.5)) * F.log(t) - t + F.log(series)
 
 
 def logit(p: Column) -> Column:
@@ -81,20 +100,19 @@ def round_to_grid(x: Column, step: float, origin: float = 0.0) -> Column:
     return F.lit(origin) + ((x - F.lit(origin)) / F.lit(step) + F.lit(0.5)).cast("int") * F.lit(step)
 
 
-def log_factorial(n: Column) -> Column:
-    """log n! as a sum of logs; 0 for n <= 1."""
-    return F.when(n > 1, F.aggregate(F.sequence(F.lit(2), n), F.lit(0.0), lambda a, i: a + F.log(i.cast("double")))).otherwise(F.lit(0.0))
+def log_choose(n: Column, k: Column) -> Column:
+    """log of the binomial coefficient, of real arguments too."""
+    return log_gamma(n + 1) - log_gamma(k + 1) - log_gamma(n - k + 1)
 
 
-def log_beta_integer(a: Column, b: Column) -> Column:
-    """log B(a, b) for positive integers."""
-    return log_factorial(a - 1) + log_factorial(b - 1) - log_factorial(a + b - 1)
+def log_beta(a: Column, b: Column) -> Column:
+    """log B(a, b) for positive a and b."""
+    return log_gamma(a) + log_gamma(b) - log_gamma(a + b)
 
 
 def beta_binomial_log(k: Column, n: Column, alpha: Column, beta: Column) -> Column:
-    """Log probability of k successes in n under a beta-binomial with integer parameters."""
-    choose = log_factorial(n) - log_factorial(k) - log_factorial(n - k)
-    return choose + log_beta_integer(k + alpha, n - k + beta) - log_beta_integer(alpha, beta)
+    """Log probability of k successes in n under a beta-binomial with positive parameters; k may be real."""
+    return log_choose(n, k) + log_beta(k + alpha, n - k + beta) - log_beta(alpha, beta)
 
 
 def binary_entropy(p: Column) -> Column:

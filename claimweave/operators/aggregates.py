@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.functions.math import beta_binomial_log, clip
+from claimweave.operators.windows import exact_quantiles
 
 PAIR = ["up", "dn"]
 
@@ -26,7 +27,7 @@ def strongest(df: DataFrame, inner: list[str], outer: list[str], value: str) ->
     return m.groupBy(*outer).agg(F.max_by("m", F.struct(F.round(F.abs("m"), 9), F.col("m"))).alias("strongest"))
 
 
-def beta_binomial_positive(stats: DataFrame, alpha_p: int, beta_p: int, alpha_n: int, beta_n: int, prior: float = 0.5) -> DataFrame:
+def beta_binomial_positive(stats: DataFrame, alpha_p: float, beta_p: float, alpha_n: float, beta_n: float, prior: float = 0.5) -> DataFrame:
     """Probability that an interaction is positive: beta-binomial odds of its k of n under the two classes."""
     a = lambda v: F.lit(v)
     odds = beta_binomial_log(F.col("k"), F.col("n"), a(alpha_p), a(beta_p)) - beta_binomial_log(F.col("k"), F.col("n"), a(alpha_n), a(beta_n))
@@ -46,7 +47,9 @@ def log_vote(df: DataFrame, keys: list[str], probabilities: list[str], barrier:
     arr = F.array(*[F.col(f"l{i}") for i in range(len(probabilities))])
     middle = F.sort_array(arr)[len(probabilities) // 2]
     e = F.transform(arr, lambda x: F.exp(clip(x - middle, -barrier, barrier)))
-    x = sums.withColumn("__cw_e", e).withColumn("vote", (F.array_position(arr, F.array_max(arr)) - 1).cast("int"))
+    # Rounded, so that classes whose sums differ by the order of addition only are ties, which the first wins.
+    near = F.transform(arr, lambda v: F.round(v, 9))
+    x = sums.withColumn("__cw_e", e).withColumn("vote", (F.array_position(near, F.array_max(near)) - 1).cast("int"))
     total = F.aggregate("__cw_e", F.lit(0.0), lambda a, v: a + v)
     return x.select(*keys, *[(F.col("__cw_e")[i] / total).alias(f"p{i}") for i in range(len(probabilities))], "vote")
 
@@ -67,7 +70,8 @@ def threshold_study(df: DataFrame, score: str, value: str, thresholds: list[floa
     slots = x.groupBy(F.size(F.filter(t, lambda v: v <= F.col(score))).alias("slot")).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("c"))
     grid = df.sparkSession.createDataFrame([(i + 1, v) for i, v in enumerate(thresholds)], "i int, thr double")
     high, low = F.col("slot") >= F.col("i"), F.col("slot") < F.col("i")
-    return slots.join(F.broadcast(grid), F.col("i") > -1, "inner").groupBy("thr").agg(
+    # At most thresholds + 1 slots, times the thresholds.
+    return slots.crossJoin(F.broadcast(grid)).groupBy("thr").agg(
         F.coalesce(F.sum(F.when(high, F.col("s"))), F.lit(0)).cast("long").alias("sum_high"), F.coalesce(F.sum(F.when(high, F.col("c"))), F.lit(0)).alias("n_high"),
         F.coalesce(F.sum(F.when(low, F.col("s"))), F.lit(0)).cast("long").alias("sum_low"), F.coalesce(F.sum(F.when(low, F.col("c"))), F.lit(0)).alias("n_low"))
 
@@ -83,7 +87,8 @@ def threshold_surface(df: DataFrame, score: str, value: str, lows: list[float],
     is_low, is_high = F.col("sa") < F.col("i"), F.col("sb") >= F.col("j")
     def part(cond: Column, name: str) -> list[Column]:
         return [F.coalesce(F.sum(F.when(cond, F.col("s"))), F.lit(0)).cast("long").alias("sum_" + name), F.coalesce(F.sum(F.when(cond, F.col("c"))), F.lit(0)).alias("n_" + name)]
-    return slots.join(F.broadcast(grid), F.col("i") > -1).groupBy("low", "high").agg(*part(is_low, "low"), *part(~is_low & ~is_high, "middle"), *part(is_high, "high"))
+    # At most (lows + 1) * (highs + 1) slots, times the grid of lows * highs.
+    return slots.crossJoin(F.broadcast(grid)).groupBy("low", "high").agg(*part(is_low, "low"), *part(~is_low & ~is_high, "middle"), *part(is_high, "high"))
 
 
 def correlations(df: DataFrame, target: str, columns: list[str], keys: list[str] = (), at_least: int = 2) -> DataFrame:
@@ -111,7 +116,7 @@ def pooled_std(df: DataFrame, keys: list[str], n: str, mean: str, std: str) -> D
 
 def percentile_flags(df: DataFrame, column: str, percents: list[float]) -> DataFrame:
     """Number of global percentiles of the column that the row's value exceeds."""
-    cuts = df.agg(F.percentile(column, F.array(*[F.lit(p) for p in percents])).alias("p")).first()["p"] or []
+    cuts = exact_quantiles(df, column, percents)
     out = F.lit(0)
     for v in cuts:
         out = out + (F.col(column) > F.lit(v)).cast("int")
@@ -121,7 +126,8 @@ def percentile_flags(df: DataFrame, column: str, percents: list[float]) -> DataF
 def level_sweep(df: DataFrame, score: str, value: str, percents: list[float]) -> DataFrame:
     """For each level both tails of the score: rows, correlation of score and value, mean distance."""
     x = df.where(F.col(score).isNotNull() & F.col(value).isNotNull())
-    cuts = x.agg(F.percentile(score, F.array(*[F.lit(p) for p in percents])).alias("lo"), F.percentile(score, F.array(*[F.lit(1 - p) for p in percents])).alias("hi")).first()
-    levels = F.array(*[F.when((F.col(score) <= F.lit(a)) | (F.col(score) >= F.lit(b)), F.lit(p)) for p, a, b in zip(percents, cuts["lo"] or [], cuts["hi"] or [])])
+    cuts = exact_quantiles(x, score, [*percents, *[1 - p for p in percents]])
+    tails = list(zip(percents, cuts[: len(percents)], cuts[len(percents) :]))
+    levels = F.array(*[F.when((F.col(score) <= F.lit(a)) | (F.col(score) >= F.lit(b)), F.lit(p)) for p, a, b in tails], F.lit(None).cast("double"))
     return x.withColumn("level", F.explode(F.array_compact(levels))).groupBy("level").agg(
         F.count(F.lit(1)).alias("n"), F.corr(score, value).alias("corr"), F.avg(F.abs(F.col(score) - F.col(value))).alias("distance"))

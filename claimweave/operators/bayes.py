@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimweave.operators.windows import group_quantiles
+
 PAIR = ["up", "dn"]
 
 
@@ -107,7 +109,8 @@ def local_maxima(df: DataFrame, keys: list[str], value: str, low: float, high: f
 
 
 def trimmed_range(df: DataFrame, keys: list[str], value: str, tail: float) -> DataFrame:
-    return df.groupBy(*keys).agg(F.percentile(value, tail / 2).alias("low"), F.percentile(value, 1 - tail / 2).alias("high"))
+    """Exact range of each group without `tail / 2` of its values at either end."""
+    return group_quantiles(df, keys, value, {"low": tail / 2, "high": 1 - tail / 2})
 
 
 def lognormal_fit(counts: DataFrame, keys: list[str], time: str, value: str, steps: int = 60) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimweave.operators.windows import percent_ranks
+from claimweave.operators.windows import exact_quantiles, group_quantiles, group_value_ranks, percent_ranks
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -25,7 +25,7 @@ def curve_at_percentiles(df: DataFrame, score: str, label: str, levels: int = 99
     one pass of counts per slot between cutoffs, accumulated over the few slots."""
     x = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     ps = [(i + 1) / (levels + 1) for i in range(levels)]
-    cuts = x.agg(F.percentile(score, F.array(*[F.lit(p) for p in ps]))).first()[0] or []
+    cuts = exact_quantiles(x, score, ps)
     spark = df.sparkSession
     if not cuts:
         return spark.createDataFrame([], "level int, cutoff double, precision double, recall double, fpr double")
@@ -34,7 +34,7 @@ def curve_at_percentiles(df: DataFrame, score: str, label: str, levels: int = 99
     grid = spark.createDataFrame([(i + 1, float(c)) for i, c in enumerate(cuts)], "level int, cutoff double")
     # A row of slot s is at or above the s lowest cutoffs; the grid has `levels` rows.
     high = F.col("slot") >= F.col("level")
-    a = slots.join(F.broadcast(grid), F.col("level") > 0).groupBy("level", "cutoff").agg(
+    a = slots.crossJoin(F.broadcast(grid)).groupBy("level", "cutoff").agg(
         F.sum(F.when(high, F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(high, F.col("p")).otherwise(0)).alias("tp"), F.sum("n").alias("all"), F.sum("p").alias("pos"))
     return a.select("level", "cutoff", F.try_divide("tp", "n").alias("precision"), F.try_divide("tp", "pos").alias("recall"), F.try_divide(F.col("n") - F.col("tp"), F.col("all") - F.col("pos")).alias("fpr"))
 
@@ -89,7 +89,9 @@ def fisher_interval(r: Column, n: Column, z: float = 1.959963985) -> tuple[Colum
 
 
 def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.percentile(value, 0.05).alias("p05"), F.percentile(value, 0.95).alias("p95"))
+    """Mean, deviation, and exact 5th and 95th percentile of each group."""
+    moments = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    return moments.join(group_quantiles(df, keys, value, {"p05": 0.05, "p95": 0.95}), keys)
 
 
 def beta_grid_distance(stats: DataFrame, bins: int = 50) -> DataFrame:
@@ -114,9 +116,9 @@ def beta_grid_distance(stats: DataFrame, bins: int = 50) -> DataFrame:
     return stats.withColumn("distance", distance("k", "n"))
 
 
-def ks_uniform(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Largest distance of each group's empirical distribution from the uniform one on [0, 1]."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    x = df.withColumn("c", F.cume_dist().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    d = F.greatest(F.abs(F.col("c") - F.col(value)), F.abs(F.col(value) - (F.col("c") - 1 / F.col("n"))))
-    return x.groupBy(*keys).agg(F.max(d).alias("ks"), F.count(F.lit(1)).alias("n"))
+def ks_uniform(df: DataFrame, keys: list[str], value: str, first_of_ties: bool = True) -> DataFrame:
+    """Largest distance of each group's empirical distribution from the uniform one on [0, 1]. Below a
+    value that repeats the distribution is what it is before the first of the ties, or the last."""
+    x = group_value_ranks(df, keys, value)
+    upto, below = F.col("upto") / F.col("total"), (F.col("upto") - (F.col("n") if first_of_ties else 1)) / F.col("total")
+    return x.groupBy(*keys).agg(F.max(F.greatest(F.abs(upto - F.col(value)), F.abs(F.col(value) - below))).alias("ks"), F.max("total").alias("n"))

@@ -15,8 +15,14 @@ from claimweave.operators.windows import running_totals
 
 
 def uniform(seed: int, *columns: str) -> Column:
-    """A number in [0, 1) from a hash of the columns."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11) / F.lit(float(1 << 53))
+    """A number in [0, 1) from the first 13 hex digits of a hash of the columns, which SQL can repeat."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def uniform_sql(seed: int, *columns: str) -> str:
+    text = f"concat_ws('|', '{seed}', {', '.join(f'cast({c} as varchar)' for c in columns)})"
+    return f"(cast(cast('0x' || substr(md5({text}), 1, 13) as bigint) as double) / {float(1 << 52)!r})"
 
 
 def _ordered(df: DataFrame, key: str, ids: list[str], seed: int) -> DataFrame:

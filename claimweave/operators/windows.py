@@ -4,8 +4,16 @@ partition."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimweave.session import cut
 
@@ -18,36 +26,102 @@ def batches(df: DataFrame, value: str, keys: list[str] = PAIR, time: str = "year
 
 
 def running_totals(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
-    """`df` with the sum of `value` over all rows up to and including the row, in the (total) order.
-    Range-partitioned: each partition's sum goes to the driver (one number a partition), and rows are
-    summed within their partition only."""
-    w = Window.partitionBy("__cw_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    parts = cut(df.repartitionByRange(*order).withColumn("__cw_part", F.spark_partition_id()))
-    sums = parts.groupBy("__cw_part").agg(F.sum(value).alias("s")).orderBy("__cw_part").collect()
-    base, run = [], 0
-    for r in sums:
-        base += [F.lit(r["__cw_part"]), F.lit(run)]
+    """`df` with the sum of `value` (null counts 0) over all rows up to and including the row, in the
+    (total) order.
+
+    One shuffle by range; each task sums its sorted rows as they stream by, and each partition's total
+    goes to the driver (one number a partition) and comes back as a small table of offsets."""
+    long = dict(df.dtypes)[value] in ("tinyint", "smallint", "int", "bigint")
+    kind, part = ("bigint", pa.int64()) if long else ("double", pa.float64()), "__cw_part"
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.LongType() if long else T.DoubleType()), T.StructField(part, T.IntegerType())])
+    at = df.columns.index(value)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, me = 0, TaskContext.get().partitionId()
+        for b in batches:
+            if b.num_rows:
+                sums = np.cumsum(b.column(at).cast(kind[1]).fill_null(0).to_numpy(zero_copy_only=False)) + run
+                run = sums[-1]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sums, kind[1]), pa.array(np.full(b.num_rows, me, np.int32))], names=[*b.schema.names, out, part])
+
+    parts = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(add, schema))
+    rows, run = [], 0
+    for r in parts.groupBy(part).agg(F.sum(value).alias("s")).orderBy(part).collect():
+        rows.append((r[part], run))
         run += r["s"] or 0
-    offset = F.create_map(*base)[F.col("__cw_part")] if base else F.lit(0)
-    return parts.withColumn(out, F.sum(value).over(w) + offset).drop("__cw_part")
+    offsets = F.broadcast(df.sparkSession.createDataFrame(rows, f"{part} int, __cw_offset {kind[0]}"))
+    return parts.join(offsets, part).withColumn(out, F.col(out) + F.col("__cw_offset")).select(*df.columns, out)
+
+
+def value_ranks(df: DataFrame, column: str) -> DataFrame:
+    """A row per distinct value (null excluded): `column`, its rows `n`, and the rows up to it `upto`."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    return running_totals(counts, [column], "n", "upto")
+
+
+def _between(lo: float, hi: float, part: float) -> float:
+    return lo if lo == hi else lo + (hi - lo) * part
+
+
+def exact_quantiles(df: DataFrame, column: str, percents: list[float]) -> list[float]:
+    """Interpolated quantiles of all rows, exact: the values at the two places beside each are read off
+    the running counts of distinct values, so no task holds the column. Empty for no values."""
+    ranks = value_ranks(df, column)
+    total = ranks.agg(F.max("upto")).first()[0]
+    if not total:
+        return []
+    places = [p * (total - 1) for p in percents]
+    wanted = sorted({f(x) for x in places for f in (math.floor, math.ceil)})
+    row = ranks.agg(*[F.min(F.when(F.col("upto") > i, F.col(column))).alias(f"v{i}") for i in wanted]).first()
+    return [_between(float(row[f"v{math.floor(x)}"]), float(row[f"v{math.ceil(x)}"]), x - math.floor(x)) for x in places]
+
+
+def group_value_ranks(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """A row per group and distinct value (null excluded): keys, `column`, `n` rows, `upto` rows of the
+    group up to it, `total` rows of the group. One running count over all groups, less what comes before
+    the group: a hot group is spread over as many tasks as it needs."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("n"))
+    run = running_totals(counts, [*keys, column], "n", "upto")
+    group = run.groupBy(*keys).agg(F.min(F.col("upto") - F.col("n")).alias("__cw_before"), F.sum("n").alias("total"))
+    same = reduce(Column.__and__, [F.col("r." + k).eqNullSafe(F.col("g." + k)) for k in keys])
+    return run.alias("r").join(group.alias("g"), same).select(*["r." + k for k in keys], "r." + column, "r.n", (F.col("r.upto") - F.col("g.__cw_before")).alias("upto"), "g.total")
+
+
+def group_quantiles(df: DataFrame, keys: list[str], column: str, percents: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles per group, named as in `percents`; from running counts of values."""
+    aggs, out = [], []
+    for name, p in percents.items():
+        place = F.lit(p) * (F.col("total") - 1)
+        aggs += [F.min(F.when(F.col("upto") > F.floor(place), F.col(column))).alias("lo_" + name),
+                 F.min(F.when(F.col("upto") > F.ceil(place), F.col(column))).alias("hi_" + name), F.max(place - F.floor(place)).alias("at_" + name)]
+        lo, hi = F.col("lo_" + name), F.col("hi_" + name)
+        out.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * F.col("at_" + name)).alias(name))
+    return group_value_ranks(df, keys, column).groupBy(*keys).agg(*aggs).select(*keys, *out)
 
 
 def percent_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
     """Average rank of the value among all rows divided by their number (ties share a rank); null for null."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("__cw_n"))
-    ranked = running_totals(counts, [column], "__cw_n", "__cw_upto")
-    total = df.where(F.col(column).isNotNull()).count()
-    rank = (F.col("__cw_upto") - (F.col("__cw_n") - 1) / F.lit(2.0)) / F.lit(float(max(total, 1)))
+    ranked = value_ranks(df, column)
+    total = ranked.agg(F.max("upto")).first()[0] or 1
+    rank = (F.col("upto") - (F.col("n") - 1) / F.lit(2.0)) / F.lit(float(total))
     return df.join(ranked.select(column, rank.alias(out)), column, "left")
 
 
 def absolute_median_ranks(df: DataFrame, column: str) -> DataFrame:
-    """Adds `<c>_pct`, `<c>_absmed` (distance of the rank from the median rank) and `<c>_absmed_pct`."""
-    x = percent_ranks(df, column, f"{column}_pct")
-    median = x.agg(F.percentile(f"{column}_pct", 0.5)).first()[0]
+    """Adds `<c>_pct`, `<c>_absmed` (distance of the rank from the median rank) and `<c>_absmed_pct`.
+    All three are found on the table of distinct values, which is joined to the rows once."""
+    pct, off, again = f"{column}_pct", f"{column}_absmed", f"{column}_absmed_pct"
+    ranked = value_ranks(df, column)
+    total = ranked.agg(F.max("upto")).first()[0] or 1
+    ranked = ranked.withColumn(pct, (F.col("upto") - (F.col("n") - 1) / F.lit(2.0)) / F.lit(float(total)))
+    # Ranks grow with the value, so the median rank is that of the middle places.
+    row = ranked.agg(*[F.min(F.when(F.col("upto") > f((total - 1) / 2), F.col(pct))).alias(n) for n, f in (("lo", math.floor), ("hi", math.ceil))]).first()
+    median = _between(row["lo"], row["hi"], (total - 1) / 2 % 1) if row["lo"] is not None else 0.5
     # Rounded, so that ranks as far on either side of the median are ties.
-    x = x.withColumn(f"{column}_absmed", F.round(F.abs(F.col(f"{column}_pct") - F.lit(median)), 9))
-    return percent_ranks(x, f"{column}_absmed", f"{column}_absmed_pct")
+    ranked = ranked.withColumn(off, F.round(F.abs(F.col(pct) - F.lit(median)), 9))
+    far = running_totals(ranked.groupBy(off).agg(F.sum("n").alias("m")), [off], "m", "__cw_upto")
+    far = far.select(off, ((F.col("__cw_upto") - (F.col("m") - 1) / F.lit(2.0)) / F.lit(float(total))).alias(again))
+    return df.join(ranked.select(column, pct, off).join(far, off), column, "left")
 
 
 def dense_codes(df: DataFrame, columns: list[str], out: str) -> DataFrame:
@@ -77,7 +151,7 @@ def transitions(b: DataFrame, value: str, keys: list[str] = PAIR, time: str = "y
     w = Window.partitionBy(*keys).orderBy(time)
     prev, size = F.lag(value).over(w), F.count(F.lit(1)).over(Window.partitionBy(*keys))
     x = b.withColumn("previous", prev).withColumn("__cw_n", size).where("__cw_n > 1").drop("__cw_n")
-    change = F.abs(F.col(value)) - F.abs("previous")
+    change = F.round(F.abs(F.col(value)) - F.abs("previous"), 12)
     return x.withColumn("sign_change", F.coalesce(F.col(value) * F.col("previous") < 0, F.lit(False))) \
         .withColumn("decrease", F.coalesce(change < 0, F.lit(False))) \
         .withColumn("change_sign", F.coalesce(F.signum(change), F.lit(0.0))).withColumn("change", F.coalesce(change, F.lit(0.0)))
@@ -106,7 +180,9 @@ def chronological_flag(b: DataFrame, fraction: float, keys: list[str] = PAIR, ti
 def one_batch_each(b: DataFrame, seed: int, keys: list[str] = PAIR, time: str = "year") -> DataFrame:
     """One batch per interaction, chosen by hash: the same on any partitioning."""
     cols = b.columns
-    w = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), *keys, time), time)
+    from claimweave.operators.sampling import uniform
+
+    w = Window.partitionBy(*keys).orderBy(uniform(seed, *keys, time), time)
     return b.withColumn("__cw_r", F.row_number().over(w)).where("__cw_r = 1").select(*cols)
 
 
@@ -125,7 +201,3 @@ def expanding_cuts(b: DataFrame, keys: list[str] = PAIR, time: str = "year") ->
     """For every later year of an interaction as cutoff: claims and positives before it."""
     w = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
     return b.withColumn("n_before", F.sum("n").over(w)).withColumn("k_before", F.sum("k").over(w)).where("n_before is not null")
-
-
-def last_known(c: str) -> Column:
-    return F.last(c, ignorenulls=True)

@@ -130,6 +130,12 @@ def wasserstein(spark, sf_dir):
 
 @query(WITH + f", x as (select journal, cdf_exp as v, cume_dist() over (partition by journal order by cdf_exp) as c, count(*) over (partition by journal) as n from c where cdf_exp is not null) select journal, {r6('max(greatest(abs(c - v), abs(v - (c - 1 / n))))')} as ks, count(*) as n from x group by journal")
 def ks_uniform(spark, sf_dir):
+    return rounded(M.ks_uniform(claims(spark, sf_dir).where("cdf_exp is not null"), ["journal"], "cdf_exp", first_of_ties=False), "ks")
+
+
+@query(WITH + f", x as (select journal, cdf_exp as v, cume_dist() over (partition by journal order by cdf_exp) as c, rank() over (partition by journal order by cdf_exp) - 1 as below, count(*) over (partition by journal) as n from c where cdf_exp is not null) select journal, {r6('max(greatest(abs(c - v), abs(v - below / n)))')} as ks, count(*) as n from x group by journal")
+def ks_exact(spark, sf_dir):
+    """As ks_uniform, with ties counted from the first of them."""
     return rounded(M.ks_uniform(claims(spark, sf_dir).where("cdf_exp is not null"), ["journal"], "cdf_exp"), "ks")
 
 
@@ -180,7 +186,7 @@ def oversampled(spark, sf_dir):
     return P.stratify(c, "pos", P.ratio_sizes(counts, {0: 1, 1: 1}, oversample=True), ["claim_id"])
 
 
-@query()
+@query(WITH + f", u as (select claim_id, up, dn, {P.uniform_sql(0, 'up', 'dn')} as u from c) select claim_id, up, dn, case when u < 0.6 then 'train' when u < 0.8 then 'valid' else 'test' end as split from u")
 def group_split(spark, sf_dir):
     return P.group_split(claims(spark, sf_dir), ["up", "dn"], {"train": 0.6, "valid": 0.2, "test": 0.2}).select("claim_id", "up", "dn", "split")
 
@@ -195,7 +201,8 @@ def sample_by_length(spark, sf_dir):
     return P.sample_by_length(claims(spark, sf_dir).select("claim_id", "up", "dn"), ["up", "dn"], 0.3)
 
 
-@query()
+@query(_B + f""", i as (select *, row_number() over (partition by up, dn order by year) as i, {P.uniform_sql(0, 'up', 'dn')} as u from b), s as (select *, sum(n) over (order by i, u, up, dn) as step from i)
+select up, dn, year, k, n, step - n < (select sum(n) // 3 from b) as revealed, cast(step as bigint) as step from s""")
 def history_growth(spark, sf_dir):
     b = _batches(spark, sf_dir)
     budget = b.agg(F.sum("n")).first()[0] // 3

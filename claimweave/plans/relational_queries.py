@@ -9,6 +9,7 @@ from claimweave.functions.math import half_up, norm_cdf, norm_cdf_sql, norm_ppf
 from claimweave.operators import aggregates as A
 from claimweave.operators import relational as R
 from claimweave.operators import windows as W
+from claimweave.operators.sampling import uniform_sql
 from claimweave.sources.claims import READINGS_SQL, WITH, claims, experiments, readings
 from claimweave.session import table
 
@@ -259,11 +260,11 @@ def cumulative_edges(spark, sf_dir):
 
 
 @query(WITH + f""", p as (select up, dn, 0.2 + 0.6 * pos as a, 0.5e0 as b, 0.8 - 0.6 * pos as d from c), s as (select up, dn, sum(ln(a)) as l0, sum(ln(b)) as l1, sum(ln(d)) as l2 from p group by up, dn),
-m as (select *, list_sort([l0, l1, l2])[2] as mid from s), e as (select up, dn, exp(greatest(-20, least(20, l0 - mid))) as e0, exp(greatest(-20, least(20, l1 - mid))) as e1, exp(greatest(-20, least(20, l2 - mid))) as e2 from m)
-select up, dn, {r6('e0 / (e0 + e1 + e2)')} as p0, {r6('e1 / (e0 + e1 + e2)')} as p1, {r6('e2 / (e0 + e1 + e2)')} as p2 from e""")
+m as (select *, list_sort([l0, l1, l2])[2] as mid, case when round(l0, 9) >= round(l1, 9) and round(l0, 9) >= round(l2, 9) then 0 when round(l1, 9) >= round(l2, 9) then 1 else 2 end as vote from s), e as (select up, dn, vote, exp(greatest(-20, least(20, l0 - mid))) as e0, exp(greatest(-20, least(20, l1 - mid))) as e1, exp(greatest(-20, least(20, l2 - mid))) as e2 from m)
+select up, dn, {r6('e0 / (e0 + e1 + e2)')} as p0, {r6('e1 / (e0 + e1 + e2)')} as p1, {r6('e2 / (e0 + e1 + e2)')} as p2, vote from e""")
 def log_vote(spark, sf_dir):
     c = claims(spark, sf_dir).withColumns({"a": 0.2 + 0.6 * F.col("pos"), "b": F.lit(0.5), "d": 0.8 - 0.6 * F.col("pos")})
-    return rounded(A.log_vote(c, ["up", "dn"], ["a", "b", "d"], 20.0).drop("vote"), "p0", "p1", "p2")
+    return rounded(A.log_vote(c, ["up", "dn"], ["a", "b", "d"], 20.0), "p0", "p1", "p2")
 
 
 @query(WITH + f", a as (select up, dn, year, pmid % 7 as comm, avg(pos) as m from c group by all), b as (select up, dn, year, avg(m) as m from a group by all) select up, dn, {r6('avg(m)')} as m from b group by up, dn")
@@ -280,11 +281,11 @@ def threshold_study(spark, sf_dir):
     return A.threshold_study(claims(spark, sf_dir), "cdf_exp", "pos", _THR)
 
 
-@query(WITH + """, t as (select low, high from (select unnest([0.1, 0.2, 0.3, 0.4]) as low), (select unnest([0.6, 0.7, 0.8, 0.9]) as high)) select cast(low as double) as low, cast(high as double) as high,
+@query(WITH + """, t as (select low, high from (select unnest(range(0, 21)) / 40e0 as low), (select 0.5e0 + unnest(range(0, 21)) / 40e0 as high)) select cast(low as double) as low, cast(high as double) as high,
 cast(coalesce(sum(pos) filter (where cdf_exp < low), 0) as bigint) as sum_low, count(*) filter (where cdf_exp < low) as n_low, cast(coalesce(sum(pos) filter (where cdf_exp >= low and cdf_exp < high), 0) as bigint) as sum_middle, count(*) filter (where cdf_exp >= low and cdf_exp < high) as n_middle,
 cast(coalesce(sum(pos) filter (where cdf_exp >= high), 0) as bigint) as sum_high, count(*) filter (where cdf_exp >= high) as n_high from c, t where cdf_exp is not null group by low, high""")
 def threshold_surface(spark, sf_dir):
-    return A.threshold_surface(claims(spark, sf_dir), "cdf_exp", "pos", [0.1, 0.2, 0.3, 0.4], [0.6, 0.7, 0.8, 0.9])
+    return A.threshold_surface(claims(spark, sf_dir), "cdf_exp", "pos", [i / 40 for i in range(21)], [0.5 + i / 40 for i in range(21)])
 
 
 @query(WITH + f"select case when ar < 2 then 0 when ar < 4 then 1 when ar < 6 then 2 else 3 end as bin, count(*) as n, {r6('corr(pos, cdf_exp)')} as corr, {r6('avg(pos)')} as mean_pos, {r6('stddev_pop(cdf_exp)')} as std_exp from c where cdf_exp is not null and ar >= 0 and ar < 8 group by bin having count(*) > 4")
@@ -349,11 +350,10 @@ def later_years(spark, sf_dir):
 
 
 @query(_B + f""", m as (select up, dn, year, k / n - 0.5 as v, lag(k / n - 0.5) over w as prev, count(*) over (partition by up, dn) as y from b window w as (partition by up, dn order by year))
-select up, dn, year, {r6('prev')} as previous, coalesce(v * prev < 0, false) as sign_change, coalesce(round(abs(v) - abs(prev), 9) < 0, false) as decrease, {r6('coalesce(abs(v) - abs(prev), 0)')} as change from m where y > 1""")
+select up, dn, year, {r6('prev')} as previous, coalesce(v * prev < 0, false) as sign_change, coalesce(round(abs(v) - abs(prev), 9) < 0, false) as decrease, {r6('coalesce(abs(v) - abs(prev), 0)')} as change, coalesce(sign(round(abs(v) - abs(prev), 9)), 0)::double as change_sign from m where y > 1""")
 def transitions(spark, sf_dir):
     b = _batches(spark, sf_dir).withColumn("v", F.col("k") / F.col("n") - 0.5)
-    x = W.transitions(b, "v").withColumn("decrease", F.round("change", 9) < 0)
-    return rounded(x.select("up", "dn", "year", "previous", "sign_change", "decrease", "change"), "previous", "change")
+    return rounded(W.transitions(b, "v").select("up", "dn", "year", "previous", "sign_change", "decrease", "change", "change_sign"), "previous", "change")
 
 
 @query(_B + "select up, dn, year, n, cast(dense_rank() over (partition by up, dn order by n desc) - 1 as integer) as rank from b")
@@ -376,7 +376,7 @@ def expanding_cuts(spark, sf_dir):
     return W.expanding_cuts(_batches(spark, sf_dir)).select("up", "dn", "year", "n_before", "k_before")
 
 
-@query()
+@query(_B + f" select up, dn, year, k, n from (select *, row_number() over (partition by up, dn order by {uniform_sql(17, 'up', 'dn', 'year')}, year) as r from b) where r = 1")
 def one_batch_each(spark, sf_dir):
     return W.one_batch_each(_batches(spark, sf_dir), 17)
 
@@ -415,6 +415,11 @@ def scalar_math(spark, sf_dir):
     return rounded(x, "cdf", "logit_exp", "step")
 
 
-@query()
+# The quantile by Newton's method on the distribution function, from 0: on either side it is curved so that
+# each step stops short of the root.
+_NEWTON = "list_reduce([0e0] || list_transform(range(0, 40), lambda i: 0e0), lambda z, i: z - (" + norm_cdf_sql("z") + " - q) / (exp(-z * z / 2) / 2.5066282746310002))"
+
+
+@query(WITH + f", x as (select distinct greatest(1e-6, least(1 - 1e-6, cdf_exp)) as q, cdf_exp from c where cdf_exp is not null), z as (select cdf_exp, {_NEWTON} as z from x) select claim_id, {r6('z')} as z from c join z using (cdf_exp)")
 def normal_quantiles(spark, sf_dir):
-    return claims(spark, sf_dir).where("cdf_exp is not null").select("claim_id", norm_ppf(F.col("cdf_exp")).alias("z"))
+    return rounded(claims(spark, sf_dir).where("cdf_exp is not null").select("claim_id", norm_ppf(F.col("cdf_exp")).alias("z")), "z")
