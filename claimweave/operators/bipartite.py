@@ -6,10 +6,12 @@ task."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimweave.operators.relational import value_windows
+from claimweave.operators.relational import rank_windows, value_windows
 from claimweave.session import cut
 
 PAIR = ["up", "dn"]
@@ -20,8 +22,13 @@ def windowed(claims: DataFrame, width: int) -> DataFrame:
     return value_windows(claims.select(*PAIR, "year", "pmid").distinct(), PAIR, "year", width).select(*PAIR, "look", "year", "pmid").distinct()
 
 
-def _graph(claims: DataFrame, units: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    papers = windowed(claims, width)
+def rank_windowed(claims: DataFrame, width: int) -> DataFrame:
+    """Distinct papers of each interaction in its last `width` years that have any."""
+    return rank_windows(claims.select(*PAIR, "year", "pmid").distinct(), PAIR, "year", width).select(*PAIR, "look", "year", "pmid").distinct()
+
+
+def _graph(claims: DataFrame, units: DataFrame, width: int, windows: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    papers = windowed(claims, width) if windows is None else windows
     key = [*PAIR, "look"]
     edges = papers.select(*key, "pmid").distinct().join(units, "pmid")
     degrees = edges.groupBy(*key, "unit").agg(F.count(F.lit(1)).alias("deg"))
@@ -29,17 +36,24 @@ def _graph(claims: DataFrame, units: DataFrame, width: int) -> tuple[DataFrame,
     return papers, edges, degrees.join(size, key)
 
 
-def support_index(claims: DataFrame, units: DataFrame, width: int, fraction: float = 1.0) -> DataFrame:
-    """Per interaction and year: sum of squared unit degrees over the top fraction of units, against
-    the most it could be; 0 without units or with one paper."""
+def support_index(claims: DataFrame, units: DataFrame, width: int, fraction: float = 1.0, squared: bool = True, windows: DataFrame | None = None) -> DataFrame:
+    """Per interaction and year: sum of the (squared) unit degrees over the top fraction of units, against
+    the most it could be; 0 without units or with one paper.
+
+    Degrees are few, so the top is taken off the histogram of degrees and no group's units are sorted.
+    `windows` replaces the look-back by years with others, of the columns of `windowed`.
+    """
     key = [*PAIR, "look"]
-    papers, _, deg = _graph(claims, units, width)
+    papers, _, deg = _graph(claims, units, width, windows)
+    hist = deg.groupBy(*key, "deg").agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy(*key)
-    top = deg.withColumn("r", F.row_number().over(w.orderBy(F.desc("deg"), "unit"))).withColumn("v", F.count(F.lit(1)).over(w)).where(
-        F.col("r") <= F.ceil(F.lit(fraction) * F.col("v")))
-    got = top.groupBy(*key).agg(F.sum(F.col("deg") * F.col("deg")).alias("s"), F.count(F.lit(1)).alias("m"), F.max("v").alias("n_units"), F.sum("deg").alias("n_edges"))
+    hist = hist.withColumn("v", F.sum("c").over(w)).withColumn("upto", F.sum("c").over(w.orderBy(F.desc("deg")).rowsBetween(Window.unboundedPreceding, 0)))
+    taken = F.greatest(F.lit(0), F.least(F.col("c"), F.ceil(F.lit(fraction) * F.col("v")) - (F.col("upto") - F.col("c"))))
+    size = lambda c: c * c if squared else c
+    got = hist.withColumn("t", taken).where("t > 0").groupBy(*key).agg(
+        F.sum(F.col("t") * size(F.col("deg"))).alias("s"), F.sum("t").alias("m"), F.max("v").alias("n_units"), F.sum(F.col("t") * F.col("deg")).alias("n_edges"))
     every = papers.groupBy(*key).agg(F.countDistinct("pmid").alias("n_papers"))
-    index = F.when(F.col("n_papers") > 1, F.col("s") / (F.col("m") * F.col("n_papers") * F.col("n_papers")))
+    index = F.when(F.col("n_papers") > 1, F.col("s") / (F.col("m") * size(F.col("n_papers"))))
     return every.join(got, key, "left").select(*key, "n_papers", F.coalesce("n_units", F.lit(0)).alias("n_units"),
                                                F.coalesce("n_edges", F.lit(0)).alias("n_edges"), F.coalesce(index, F.lit(0.0)).alias("support"))
 
@@ -126,6 +140,32 @@ def similar_papers(claims: DataFrame, units: DataFrame, least: float = 0.5) -> D
     return full.withColumn("jaccard", j).where(F.col("jaccard") >= least - 1e-12).select(*PAIR, "a", "b", "members_a", "members_b", "jaccard")
 
 
+def projected_weights(claims: DataFrame, units: DataFrame) -> DataFrame:
+    """Weighted projection of each interaction's papers: Jaccard similarity of the unit sets of every two
+    papers that share a unit, `up, dn, a < b, weight`. (Others have weight 0, and papers without units no
+    row.) Found from the units, so no two unrelated papers meet; it does not depend on the window."""
+    e = claims.select(*PAIR, "pmid").distinct().join(units, "pmid")
+    size = units.groupBy("pmid").agg(F.count(F.lit(1)).alias("n"))
+    a, b = e.withColumnRenamed("pmid", "a"), e.withColumnRenamed("pmid", "b")
+    shared = a.join(b, [*PAIR, "unit"]).where("a < b").groupBy(*PAIR, "a", "b").agg(F.count(F.lit(1)).alias("s"))
+    full = shared.join(size.select(F.col("pmid").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("pmid").alias("b"), F.col("n").alias("nb")), "b")
+    return full.select(*PAIR, "a", "b", (F.col("s") / (F.col("na") + F.col("nb") - F.col("s"))).alias("weight"))
+
+
+def summed_weights(parts: list[DataFrame]) -> DataFrame:
+    """Several projections as one: weights added, divided by the largest of the interaction."""
+    every = reduce(DataFrame.unionByName, parts).groupBy(*PAIR, "a", "b").agg(F.sum("weight").alias("weight"))
+    top = every.groupBy(*PAIR).agg(F.max("weight").alias("__cw_top"))
+    return every.join(top, PAIR).withColumn("weight", F.col("weight") / F.col("__cw_top")).drop("__cw_top")
+
+
+def window_pairs(weights: DataFrame, windows: DataFrame) -> DataFrame:
+    """The projection inside each window: pairs of which both papers are in it."""
+    key = [*PAIR, "look"]
+    a, b = windows.select(*key, F.col("pmid").alias("a")).distinct(), windows.select(*key, F.col("pmid").alias("b")).distinct()
+    return weights.join(a, [*PAIR, "a"]).join(b, [*key, "b"]).select(*key, "a", "b", "weight")
+
+
 def node_degrees(edges: DataFrame, look: str = "look") -> DataFrame:
     """Distinct in- and out-neighbours of every gene per year of a cumulative graph."""
     out = edges.groupBy(F.col("up").alias("gene"), look).agg(F.countDistinct("dn").alias("deg_out"))

@@ -1,17 +1,155 @@
-"""Communities by label propagation over edge rows, for all groups at once.
+"""Communities over edge rows, for all groups at once: by modularity moves, or by label propagation.
 
-A grouped function per interaction would gather a hot interaction's graph in one task; here a round
-is two half-steps, each an aggregation over (group, node, label) for half of the nodes: with all at
-once, the two sides of a bipartite graph would swap labels for ever. Labels are node ids; ties go to the lowest label, so
-results do not depend on partitioning. The number of rounds is a parameter; labels of a round are
-cut from lineage."""
+A grouped function per interaction would gather a hot interaction's graph in one task; here a step is
+an aggregation over (group, node, label) for one half of the nodes: with all at once, neighbours would
+swap labels for ever. Labels are node ids; ties go to the present label, then to the lowest, so results
+do not depend on partitioning. The number of rounds is a parameter; labels of a step are cut from
+lineage, and the tables of the step before are deleted. A hub's edges meet one label row; adaptive
+execution splits that join."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimweave.session import cut
+from claimweave.session import cut, drop_cuts
+
+
+def _half(c: Column) -> Column:
+    """0 or 1 by the first digit of a hash, which SQL can repeat."""
+    return F.conv(F.substring(F.md5(c), 1, 1), 16, 10).cast("int") % 2
+
+
+def _both_ways(edges: DataFrame, group: list[str], a: str, b: str, weight: str | None) -> DataFrame:
+    w = F.col(weight) if weight else F.lit(1.0)
+    e = edges.select(*group, F.col(a).cast("string").alias("x"), F.col(b).cast("string").alias("y"), w.cast("double").alias("w")).where("x <> y")
+    return e.unionByName(e.select(*group, F.col("y").alias("x"), F.col("x").alias("y"), "w")).groupBy(*group, "x", "y").agg(F.sum("w").alias("w"))
+
+
+def _moves(both: DataFrame, nodes: DataFrame, total: DataFrame, group: list[str], rounds: int) -> DataFrame:
+    """`nodes` (group, node, k, half) with a label each, moved in turns by halves to the neighbouring community
+    of largest gain in modularity, w(node, C) - k * k(C without the node) / total."""
+    spark, labels, last = both.sparkSession, cut(nodes.withColumn("label", F.col("node"))), None
+    own = F.col("label") == F.col("now")
+    for step in range(2 * rounds):
+        now = labels.where(F.col("half") == step % 2)
+        sums = labels.groupBy(*group, "label").agg(F.sum("k").alias("kc"))
+        near = both.join(now.select(*group, F.col("node").alias("x")), [*group, "x"], "left_semi") \
+            .join(labels.select(*group, F.col("node").alias("y"), "label"), [*group, "y"]).select(*group, F.col("x").alias("node"), "label", "w")
+        offers = near.unionByName(now.select(*group, "node", "label", F.lit(0.0).alias("w"))).groupBy(*group, "node", "label").agg(F.sum("w").alias("w"))
+        x = offers.join(now.select(*group, "node", "k", "half", F.col("label").alias("now")), [*group, "node"]).join(sums, [*group, "label"]).join(total, group)
+        gain = F.round(F.col("w") - F.col("k") * (F.col("kc") - F.when(own, F.col("k")).otherwise(0.0)) / F.col("total"), 9)
+        best = x.groupBy(*group, "node", "k", "half").agg(F.min_by("label", F.struct(-gain, (~own).cast("int"), F.col("label"))).alias("label"))
+        last, labels = labels, cut(labels.where(F.col("half") != step % 2).unionByName(best.select(*labels.columns)))
+        drop_cuts(spark, last)
+    return labels
+
+
+def modularity_communities(edges: DataFrame, group: list[str], a: str, b: str, weight: str | None = None, rounds: int = 3, levels: int = 2) -> DataFrame:
+    """`group`, `node`, `label`: communities of large modularity, in the manner of Louvain's method.
+
+    On the first level single nodes move, on each further one whole communities. Nodes without an edge
+    are not listed. Weights must be positive; null weights and loops count nothing."""
+    both = cut(_both_ways(edges, group, a, b, weight).where("w > 0"))
+    total = both.groupBy(*group).agg(F.sum("w").alias("total"))
+    degree = both.groupBy(*group, F.col("x").alias("node")).agg(F.sum("w").alias("k"))
+    found = _moves(both, degree.withColumn("half", _half(F.col("node"))), total, group, rounds).select(*group, "node", "label", "k")
+    for _ in range(levels - 1):
+        name = lambda n, l: found.select(*group, F.col("node").alias(n), F.col("label").alias(l))
+        upper = cut(both.join(name("x", "lx"), [*group, "x"]).join(name("y", "ly"), [*group, "y"]).where("lx <> ly")
+                    .groupBy(*group, F.col("lx").alias("x"), F.col("ly").alias("y")).agg(F.sum("w").alias("w")))
+        nodes = found.groupBy(*group, F.col("label").alias("node")).agg(F.sum("k").alias("k")).withColumn("half", _half(F.col("node")))
+        moved = _moves(upper, nodes, total, group, rounds).select(*group, F.col("node").alias("label"), F.col("label").alias("upper"))
+        found = cut(found.join(moved, [*group, "label"]).select(*group, "node", F.col("upper").alias("label"), "k"))
+        drop_cuts(both.sparkSession, upper)
+    drop_cuts(both.sparkSession, both)
+    return found.select(*group, "node", "label")
+
+
+def modularity_communities_sql(edges: str, group: list[str], rounds: int = 3, levels: int = 2) -> tuple[str, str]:
+    """(common table expressions, name of the result) that do the same in SQL on a relation `edges` of
+    group, x, y (text), w with both directions of each edge."""
+    g, using = ", ".join(group), lambda *more: f"using ({', '.join([*group, *more])})"
+    half = "cast('0x' || substr(md5(node), 1, 1) as integer) % 2"
+    ctes = [f"mt as materialized (select {g}, sum(w) as total from {edges} group by {g})",
+            f"mn0 as materialized (select {g}, x as node, sum(w) as k, node as label from {edges} group by {g}, x)"]
+    flat, n, both, level_of = "mn0", 0, edges, None
+    for level in range(levels):
+        now = f"mn{n}"
+        if level:
+            ctes.append(f"mu{level} as materialized (select {', '.join('b.' + c for c in group)}, p.label as x, q.label as y, sum(b.w) as w from {edges} b join {flat} p on {' and '.join(f'b.{c} = p.{c}' for c in group)} and b.x = p.node "
+                        f"join {flat} q on {' and '.join(f'b.{c} = q.{c}' for c in group)} and b.y = q.node where p.label <> q.label group by {', '.join('b.' + c for c in group)}, p.label, q.label)")
+            both, n = f"mu{level}", n + 1
+            ctes.append(f"mn{n} as materialized (select {g}, label as node, sum(k) as k, label from {flat} group by {g}, label)")
+            now = f"mn{n}"
+        for step in range(2 * rounds):
+            n += 1
+            ctes += [
+                f"mo{n} as materialized (select {g}, node, label, sum(w) as w from (select {', '.join('b.' + c for c in group)}, b.x as node, l.label, b.w from {both} b join {now} l on {' and '.join(f'b.{c} = l.{c}' for c in group)} and b.y = l.node union all select {g}, node, label, 0e0 from {now}) group by {g}, node, label)",
+                f"ms{n} as materialized (select {g}, label, sum(k) as kc from {now} group by {g}, label)",
+                f"mx{n} as materialized (select {', '.join('o.' + c for c in group)}, o.node, o.label, c.k, c.label as present, round(o.w - c.k * (s.kc - case when o.label = c.label then c.k else 0 end) / t.total, 9) as gain from mo{n} o join {now} c {using('node')} join ms{n} s on {' and '.join(f'o.{c} = s.{c}' for c in group)} and o.label = s.label join mt t {using()} where {half.replace('node', 'o.node')} = {step % 2})",
+                f"mn{n} as materialized (select {g}, node, k, label from {now} where {half} <> {step % 2} union all select {g}, node, k, label from (select *, row_number() over (partition by {g}, node order by gain desc, label <> present, label) as r from mx{n}) where r = 1)"]
+            now = f"mn{n}"
+        if level:
+            ctes.append(f"mf{level} as materialized (select {', '.join('f.' + c for c in group)}, f.node, u.label, f.k from {flat} f join {now} u on {' and '.join(f'f.{c} = u.{c}' for c in group)} and f.label = u.node)")
+            flat = f"mf{level}"
+        else:
+            flat = now
+    return ", ".join(ctes), flat
+
+
+def modularity(edges: DataFrame, labels: DataFrame, group: list[str], a: str, b: str, weight: str | None = None) -> DataFrame:
+    """`modularity` of each group under the labels: the share of weight inside communities less what it would be at random."""
+    both = _both_ways(edges, group, a, b, weight).where("w > 0")
+    name = lambda n, l: labels.select(*group, F.col("node").alias(n), F.col("label").alias(l))
+    x = both.join(name("x", "lx"), [*group, "x"]).join(name("y", "ly"), [*group, "y"])
+    per = x.groupBy(*group, "lx").agg(F.sum("w").alias("k"), F.sum(F.when(F.col("lx") == F.col("ly"), F.col("w")).otherwise(0.0)).alias("inside"))
+    m = F.sum("k")
+    return per.groupBy(*group).agg((F.sum("inside") / m - F.sum(F.col("k") * F.col("k")) / (m * m)).alias("modularity"))
+
+
+def graph_components(edges: DataFrame, group: list[str], a: str, b: str) -> DataFrame:
+    """`group`, `node`, `component` (its lowest node): lowest labels spread along the edges, and along the
+    labels' own labels, until none changes."""
+    both, spark = cut(_both_ways(edges, group, a, b, None)), edges.sparkSession
+    labels = cut(both.groupBy(*group, F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("node")).alias("component")))
+    while True:
+        own = labels.select(*group, F.col("node").alias("y"), "component")
+        near = both.join(own, [*group, "y"]).select(*group, F.col("x").alias("node"), "component").unionByName(labels)
+        low = near.groupBy(*group, "node").agg(F.min("component").alias("component"))
+        jump = low.join(own.select(*group, F.col("y").alias("component"), F.col("component").alias("next")), [*group, "component"], "left")
+        new = cut(jump.select(*group, "node", F.least("component", F.coalesce("next", "component")).alias("component")))
+        changed = new.join(labels.withColumnRenamed("component", "old"), [*group, "node"]).where("component <> old")
+        done, last, labels = changed.isEmpty(), labels, new
+        drop_cuts(spark, last)
+        if done:
+            drop_cuts(spark, both)
+            return labels
+
+
+def refutation(claims: DataFrame, sources: dict[str, DataFrame], widths: list[int], lag: int = 1) -> DataFrame:
+    """Per claim, source of units and width: `vote_<source><width>`, 1 if most claims of its community, found
+    among the papers of the last `width` years, that are at least `lag` years older are positive, else 0;
+    null without such claims or without units. All graphs are one edge table and are solved at once."""
+    from claimweave.operators.bipartite import windowed
+
+    key, batch = ["source", "width", "up", "dn", "look"], ["up", "dn", "look", "pmid"]
+    windows = cut(reduce(DataFrame.unionByName, [windowed(claims, w).withColumn("width", F.lit(w)) for w in widths]))
+    units = reduce(DataFrame.unionByName, [u.select("pmid", F.col("unit").cast("string")).withColumn("source", F.lit(n)) for n, u in sources.items()])
+    edges = windows.join(units, "pmid").select(*key, F.concat(F.lit("p"), "pmid").alias("p"), F.concat(F.lit("u:"), "unit").alias("u"))
+    labels = modularity_communities(edges, key, "p", "u").where("node not like 'u:%'").select(*key, F.expr("cast(substring(node, 2) as bigint)").alias("pmid"), "label")
+    old = labels.join(claims.select("up", "dn", "pmid", "year", "pos"), ["up", "dn", "pmid"])
+    before = old.where(F.col("year") <= F.col("look") - lag).groupBy(*key, "label").agg(F.avg("pos").alias("m"))
+    voted = cut(old.where("year = look").join(before, [*key, "label"]).select(*key, "pmid", (F.col("m") > 0.5).cast("int").alias("vote")))
+    out = claims.select("claim_id", "up", "dn", F.col("year").alias("look"), "pmid")
+    for n in sources:
+        for w in widths:
+            own = voted.where((F.col("source") == n) & (F.col("width") == w)).select(*batch, F.col("vote").alias(f"vote_{n}{w}"))
+            out = out.join(own, batch, "left")
+    drop_cuts(claims.sparkSession, windows)
+    return out.select("claim_id", *[f"vote_{n}{w}" for n in sources for w in widths])
 
 
 def label_propagation(edges: DataFrame, group: list[str], a: str, b: str, weight: str | None = None, rounds: int = 3, bipartite: bool = False) -> DataFrame:

@@ -120,5 +120,5 @@ def ks_uniform(df: DataFrame, keys: list[str], value: str, first_of_ties: bool =
     """Largest distance of each group's empirical distribution from the uniform one on [0, 1]. Below a
     value that repeats the distribution is what it is before the first of the ties, or the last."""
     x = group_value_ranks(df, keys, value)
-    upto, below = F.col("upto") / F.col("total"), (F.col("upto") - (F.col("n") if first_of_ties else 1)) / F.col("total")
-    return x.groupBy(*keys).agg(F.max(F.greatest(F.abs(upto - F.col(value)), F.abs(F.col(value) - below))).alias("ks"), F.max("total").alias("n"))
+    upto, below = F.col("__cw_upto") / F.col("__cw_total"), (F.col("__cw_upto") - (F.col("__cw_n") if first_of_ties else 1)) / F.col("__cw_total")
+    return x.groupBy(*keys).agg(F.max(F.greatest(F.abs(upto - F.col(value)), F.abs(F.col(value) - below))).alias("ks"), F.max("__cw_total").alias("n"))

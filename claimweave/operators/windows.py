@@ -54,9 +54,9 @@ def running_totals(df: DataFrame, order: list[str], value: str, out: str) -> Dat
 
 
 def value_ranks(df: DataFrame, column: str) -> DataFrame:
-    """A row per distinct value (null excluded): `column`, its rows `n`, and the rows up to it `upto`."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    return running_totals(counts, [column], "n", "upto")
+    """A row per distinct value (null excluded): `column`, its rows `__cw_n`, and the rows up to it `__cw_upto`."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("__cw_n"))
+    return running_totals(counts, [column], "__cw_n", "__cw_upto")
 
 
 def _between(lo: float, hi: float, part: float) -> float:
@@ -67,33 +67,33 @@ def exact_quantiles(df: DataFrame, column: str, percents: list[float]) -> list[f
     """Interpolated quantiles of all rows, exact: the values at the two places beside each are read off
     the running counts of distinct values, so no task holds the column. Empty for no values."""
     ranks = value_ranks(df, column)
-    total = ranks.agg(F.max("upto")).first()[0]
+    total = ranks.agg(F.max("__cw_upto")).first()[0]
     if not total:
         return []
     places = [p * (total - 1) for p in percents]
     wanted = sorted({f(x) for x in places for f in (math.floor, math.ceil)})
-    row = ranks.agg(*[F.min(F.when(F.col("upto") > i, F.col(column))).alias(f"v{i}") for i in wanted]).first()
+    row = ranks.agg(*[F.min(F.when(F.col("__cw_upto") > i, F.col(column))).alias(f"v{i}") for i in wanted]).first()
     return [_between(float(row[f"v{math.floor(x)}"]), float(row[f"v{math.ceil(x)}"]), x - math.floor(x)) for x in places]
 
 
 def group_value_ranks(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """A row per group and distinct value (null excluded): keys, `column`, `n` rows, `upto` rows of the
-    group up to it, `total` rows of the group. One running count over all groups, less what comes before
+    """A row per group and distinct value (null excluded): keys, `column`, `__cw_n` rows, `__cw_upto` rows
+    of the group up to it, `__cw_total` rows of the group. One running count over all groups, less what comes before
     the group: a hot group is spread over as many tasks as it needs."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("n"))
-    run = running_totals(counts, [*keys, column], "n", "upto")
-    group = run.groupBy(*keys).agg(F.min(F.col("upto") - F.col("n")).alias("__cw_before"), F.sum("n").alias("total"))
+    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("__cw_n"))
+    run = running_totals(counts, [*keys, column], "__cw_n", "__cw_upto")
+    group = run.groupBy(*keys).agg(F.min(F.col("__cw_upto") - F.col("__cw_n")).alias("__cw_before"), F.sum("__cw_n").alias("__cw_total"))
     same = reduce(Column.__and__, [F.col("r." + k).eqNullSafe(F.col("g." + k)) for k in keys])
-    return run.alias("r").join(group.alias("g"), same).select(*["r." + k for k in keys], "r." + column, "r.n", (F.col("r.upto") - F.col("g.__cw_before")).alias("upto"), "g.total")
+    return run.alias("r").join(group.alias("g"), same).select(*["r." + k for k in keys], "r." + column, "r.__cw_n", (F.col("r.__cw_upto") - F.col("g.__cw_before")).alias("__cw_upto"), "g.__cw_total")
 
 
 def group_quantiles(df: DataFrame, keys: list[str], column: str, percents: dict[str, float]) -> DataFrame:
     """Exact interpolated quantiles per group, named as in `percents`; from running counts of values."""
     aggs, out = [], []
     for name, p in percents.items():
-        place = F.lit(p) * (F.col("total") - 1)
-        aggs += [F.min(F.when(F.col("upto") > F.floor(place), F.col(column))).alias("lo_" + name),
-                 F.min(F.when(F.col("upto") > F.ceil(place), F.col(column))).alias("hi_" + name), F.max(place - F.floor(place)).alias("at_" + name)]
+        place = F.lit(p) * (F.col("__cw_total") - 1)
+        aggs += [F.min(F.when(F.col("__cw_upto") > F.floor(place), F.col(column))).alias("lo_" + name),
+                 F.min(F.when(F.col("__cw_upto") > F.ceil(place), F.col(column))).alias("hi_" + name), F.max(place - F.floor(place)).alias("at_" + name)]
         lo, hi = F.col("lo_" + name), F.col("hi_" + name)
         out.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * F.col("at_" + name)).alias(name))
     return group_value_ranks(df, keys, column).groupBy(*keys).agg(*aggs).select(*keys, *out)
@@ -102,8 +102,8 @@ def group_quantiles(df: DataFrame, keys: list[str], column: str, percents: dict[
 def percent_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
     """Average rank of the value among all rows divided by their number (ties share a rank); null for null."""
     ranked = value_ranks(df, column)
-    total = ranked.agg(F.max("upto")).first()[0] or 1
-    rank = (F.col("upto") - (F.col("n") - 1) / F.lit(2.0)) / F.lit(float(total))
+    total = ranked.agg(F.max("__cw_upto")).first()[0] or 1
+    rank = (F.col("__cw_upto") - (F.col("__cw_n") - 1) / F.lit(2.0)) / F.lit(float(total))
     return df.join(ranked.select(column, rank.alias(out)), column, "left")
 
 
@@ -112,15 +112,15 @@ def absolute_median_ranks(df: DataFrame, column: str) -> DataFrame:
     All three are found on the table of distinct values, which is joined to the rows once."""
     pct, off, again = f"{column}_pct", f"{column}_absmed", f"{column}_absmed_pct"
     ranked = value_ranks(df, column)
-    total = ranked.agg(F.max("upto")).first()[0] or 1
-    ranked = ranked.withColumn(pct, (F.col("upto") - (F.col("n") - 1) / F.lit(2.0)) / F.lit(float(total)))
+    total = ranked.agg(F.max("__cw_upto")).first()[0] or 1
+    ranked = ranked.withColumn(pct, (F.col("__cw_upto") - (F.col("__cw_n") - 1) / F.lit(2.0)) / F.lit(float(total)))
     # Ranks grow with the value, so the median rank is that of the middle places.
-    row = ranked.agg(*[F.min(F.when(F.col("upto") > f((total - 1) / 2), F.col(pct))).alias(n) for n, f in (("lo", math.floor), ("hi", math.ceil))]).first()
+    row = ranked.agg(*[F.min(F.when(F.col("__cw_upto") > f((total - 1) / 2), F.col(pct))).alias(n) for n, f in (("lo", math.floor), ("hi", math.ceil))]).first()
     median = _between(row["lo"], row["hi"], (total - 1) / 2 % 1) if row["lo"] is not None else 0.5
     # Rounded, so that ranks as far on either side of the median are ties.
     ranked = ranked.withColumn(off, F.round(F.abs(F.col(pct) - F.lit(median)), 9))
-    far = running_totals(ranked.groupBy(off).agg(F.sum("n").alias("m")), [off], "m", "__cw_upto")
-    far = far.select(off, ((F.col("__cw_upto") - (F.col("m") - 1) / F.lit(2.0)) / F.lit(float(total))).alias(again))
+    far = running_totals(ranked.groupBy(off).agg(F.sum("__cw_n").alias("__cw_m")), [off], "__cw_m", "__cw_sum")
+    far = far.select(off, ((F.col("__cw_sum") - (F.col("__cw_m") - 1) / F.lit(2.0)) / F.lit(float(total))).alias(again))
     return df.join(ranked.select(column, pct, off).join(far, off), column, "left")
 
 
