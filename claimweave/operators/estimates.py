@@ -29,7 +29,7 @@ def vote_by_community(df: DataFrame, probabilities: list[str], community: str, k
     """Mean log probability per community, summed over communities; `vote` is the winning class."""
     per = df.groupBy(*keys, community).agg(*[F.avg(F.log(p)).alias(p) for p in probabilities])
     x = per.groupBy(*keys).agg(*[F.sum(p).alias(p) for p in probabilities])
-    arr = F.array(*[F.col(p) for p in probabilities])
+    arr = F.array(*[F.round(p, 9) for p in probabilities])
     return x.select(*keys, (F.array_position(arr, F.array_max(arr)) - 1).cast("int").alias("vote"))
 
 

@@ -66,3 +66,40 @@ def error_flags(df: DataFrame, pos: str = "pos", truth: str = "cdf_exp", quantis
     quantised truth), `bdist_half` (1 where pos is within 0.5 of the truth) and `rdist` (difference)."""
     return df.withColumn("bdist_levels", (F.col(quantised) != 2 * F.col(pos)).cast("int")).withColumn("rdist", F.col(truth) - F.col(pos)) \
         .withColumn("bdist_half", (F.abs(F.col(truth) - F.col(pos)) < 0.5).cast("int"))
+
+
+def agreement(a: Column, b: Column) -> Column:
+    """1 where both are known and equal, else 0."""
+    return F.coalesce((a == b).cast("int"), F.lit(0))
+
+
+def guess_quality(truth: Column, prior: Column, guess: Column) -> tuple[Column, Column]:
+    """(whether the prior differs from the truth, whether the guess does): exclusive or of flags; null if one is."""
+    return truth != prior, truth != guess
+
+
+def positive_transition(rdist: Column, flag: Column) -> Column:
+    """Whether a claim is near the truth and its batch has the flag; null distances are not near."""
+    return F.coalesce((F.abs(rdist) < 0.5) & flag, F.lit(False))
+
+
+def expand_bounded(df: DataFrame, c: str, out: str, eps: float = 1e-3) -> DataFrame:
+    """The column scaled to [eps, 1 - eps] and taken to log odds; a constant column goes to 0."""
+    lo, hi = df.agg(F.min(c), F.max(c)).first()
+    if lo is None or lo == hi:
+        return df.withColumn(out, F.when(F.col(c).isNotNull(), F.lit(0.0)))
+    p = F.lit(eps) + (F.col(c) - F.lit(lo)) / F.lit(hi - lo) * F.lit(1 - 2 * eps)
+    return df.withColumn(out, F.log(p / (F.lit(1.0) - p)))
+
+
+def last_stage(df: DataFrame, features: list[str], origin: str, longer_than: int, excluded: tuple[tuple[int, int], ...] = (), normalise: bool = True) -> DataFrame:
+    """The rows a model is trained on: complete in the features, without the excluded pairs (kept under
+    origin `gw`), of interactions with more rows than `longer_than`, the features scaled to [0, 1]."""
+    from claimweave.operators.relational import complete_rows, long_histories
+
+    x = complete_rows(df, features)
+    if origin != "gw":
+        for up, dn in excluded:
+            x = x.where((F.col("up") != up) | (F.col("dn") != dn))
+    x = long_histories(x, longer_than)
+    return min_max(x, [f for f in features if f in df.columns]) if normalise else x

@@ -148,9 +148,10 @@ def gap_statistic(df: DataFrame, features: list[str], ks: list[int], references:
     return out
 
 
-def near_pairs(df: DataFrame, item: str, threshold: float) -> DataFrame:
+def near_pairs(df: DataFrame, item: str, threshold: float, other: DataFrame | None = None) -> DataFrame:
     """All pairs of distinct strings within the edit ratio: `first` is the longer one, or of equal
-    length the one that sorts first.
+    length the one that sorts first. With `other` (same column) the pairs between the two tables, as
+    `item` and `other`.
 
     Exact: at most k = threshold * n edits turn the shorter string, of n letters, into the longer one.
     So of k + 1 parts of the shorter one at least one stands unchanged in the longer one, moved by no
@@ -178,12 +179,17 @@ def near_pairs(df: DataFrame, item: str, threshold: float) -> DataFrame:
             yield pd.DataFrame(list(rows), columns=["first", "n", "i", "part"])
 
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work
-    x = df.select(F.col(item).cast("string").alias(item)).dropna().distinct().repartition(tasks, item)
-    short = x.mapInPandas(of_shorter, "second string, n int, i int, part string")
-    long = x.mapInPandas(of_longer, "first string, n int, i int, part string")
+    strings = lambda f: f.select(F.col(item).cast("string").alias(item)).dropna().distinct().repartition(tasks, item)
+    x, y = strings(df), strings(df if other is None else other)
+    short = lambda f: f.mapInPandas(of_shorter, "second string, n int, i int, part string")
+    long = lambda f: f.mapInPandas(of_longer, "first string, n int, i int, part string")
     longer = (F.length("first") > F.col("n")) | (F.col("first") < F.col("second"))
     near = F.call_function("levenshtein", "first", "second", F.floor(F.lit(threshold) * F.greatest(F.lit(1), F.col("n")) + 1e-9).cast("int")) >= 0
-    return long.join(short, ["n", "i", "part"]).where(longer & near).select("first", "second").distinct()
+    met = lambda a, b: long(a).join(short(b), ["n", "i", "part"]).where(longer & near)
+    if other is None:
+        return met(x, x).select("first", "second").distinct()
+    both = met(x, y).select(F.col("first").alias("item"), F.col("second").alias("other")).unionByName(met(y, x).select(F.col("second").alias("item"), F.col("first").alias("other")))
+    return both.distinct()
 
 
 def leader_clusters(df: DataFrame, item: str, threshold: float) -> DataFrame:

@@ -77,12 +77,21 @@ def word_distance(a: Column, b: Column) -> Column:
 
 
 def nearest_entity(items: DataFrame, entities: DataFrame, item: str, entity: str, accept: float, unknown: str | None = None) -> DataFrame:
-    """Each distinct item with its nearest entity by edit ratio among those that share a word with
-    it, accepted below `accept` (ties: first in order), else `unknown`."""
-    words = lambda c: F.explode(clean_tokens(F.col(c)))
+    """Each distinct item with its nearest entity by edit ratio (accents and case apart), accepted below
+    `accept` (ties: first in order), else `unknown`.
+
+    Exact: of an entity within the ratio at least one of the item's, or entity's, parts stands unchanged
+    in the other (`near_pairs`), so only those are compared and no item meets all entities.
+    """
+    from claimweave.operators.models import near_pairs
+
     i = items.select(item).distinct().where(F.col(item).isNotNull())
-    pairs = i.select(item, words(item).alias("w")).join(entities.select(entity, words(entity).alias("w")).distinct(), "w").select(item, entity).distinct()
-    d = F.round(edit_ratio(ascii_lower(F.col(item)), ascii_lower(F.col(entity))), 9)
-    best = pairs.groupBy(item).agg(F.min(F.struct(d.alias("distance"), F.col(entity))).alias("b"))
-    return i.join(best, item, "left").select(item, F.when(F.col("b.distance") < accept, F.col(f"b.{entity}")).otherwise(F.lit(unknown)).alias(entity),
-                                             F.when(F.col("b.distance") < accept, F.col("b.distance")).alias("distance"))
+    folded = lambda df, c, n: df.select(F.col(c).alias(n), ascii_lower(F.col(c)).alias("__cw_" + n)).distinct()
+    a, b = folded(i, item, "i"), folded(entities.where(F.col(entity).isNotNull()), entity, "e")
+    close = near_pairs(a.select(F.col("__cw_i").alias("s")), "s", accept, b.select(F.col("__cw_e").alias("s")))
+    pairs = a.join(close.select(F.col("item").alias("__cw_i"), F.col("other").alias("__cw_e")), "__cw_i").join(b, "__cw_e") \
+        .unionByName(a.join(b.withColumn("__cw_i", F.col("__cw_e")), "__cw_i"))
+    d = F.round(edit_ratio(F.col("__cw_i"), F.col("__cw_e")), 9)
+    best = pairs.withColumn("d", d).where(F.col("d") < accept).groupBy("i").agg(F.min(F.struct(F.col("d").alias("distance"), F.col("e"))).alias("b"))
+    return i.join(best.select(F.col("i").alias(item), "b"), item, "left").select(
+        item, F.coalesce(F.col("b.e"), F.lit(unknown)).alias(entity), F.col("b.distance").alias("distance"))

@@ -65,12 +65,15 @@ def nhi(spark, sf_dir):
     return rounded(x, "hi", "previous_hi")
 
 
-@query()
+_CLS = _U + """, ul as (select pmid, list_sort(list(distinct unit)) as us from units group by pmid), pl as (select distinct c.up, c.dn, c.pmid, us from c join ul using (pmid)), cl as materialized (select up, dn, us, min(pmid) as pmid, count(*) as members from pl group by all)"""
+
+
+@query(_CLS + f", j as (select a.up, a.dn, a.pmid as a, b.pmid as b, a.members as members_a, b.members as members_b, len(list_intersect(a.us, b.us)) as s, len(a.us) as na, len(b.us) as nb from cl a join cl b on a.up = b.up and a.dn = b.dn and a.pmid < b.pmid) select up, dn, a, b, members_a, members_b, {r6('s / (na + nb - s)')} as jaccard from j where s / (na + nb - s) >= 0.5 - 1e-12")
 def jaccard(spark, sf_dir):
     return rounded(G.similar_papers(claims(spark, sf_dir), paper_units(spark, sf_dir), 0.5), "jaccard")
 
 
-@query()
+@query(_CLS + " select pl.up, pl.dn, pl.pmid, cl.pmid as class, members from pl join cl using (up, dn, us)")
 def jaccard_members(spark, sf_dir):
     return G.class_members(claims(spark, sf_dir), paper_units(spark, sf_dir))
 
@@ -86,27 +89,99 @@ def vertex_degrees(spark, sf_dir):
     return claims(spark, sf_dir).groupBy(F.col("up").alias("gene")).agg(F.countDistinct("dn").alias("deg_out"))
 
 
+_CM, _CL = C.modularity_communities_sql("bo", ["up", "dn"])
+_DET = _U + f""", ed as materialized (select up, dn, 'p' || pmid as p, 'u:' || unit as u from (select distinct up, dn, pmid from c) join units using (pmid)),
+bo as materialized (select up, dn, x, y, sum(w) as w from (select up, dn, p as x, u as y, 1e0 as w from ed union all select up, dn, u, p, 1e0 from ed) group by all), {_CM},
+lab as materialized (select up, dn, cast(substring(node, 2) as bigint) as pmid, label from {_CL} where node not like 'u:%'),
+sz as (select up, dn, label, count(*) as comm_size from lab group by all), tt as (select up, dn, count(*) as n_comms, sum(comm_size) as n_nodes from sz group by all),
+det as materialized (select lab.up, lab.dn, pmid, lab.label, comm_size, n_comms, comm_size / n_nodes as rel_size from lab join sz using (up, dn, label) join tt using (up, dn)),
+rk as materialized (select det.*, rank from det join (select up, dn, label, dense_rank() over (partition by up, dn order by comm_size desc) - 1 as rank from sz) using (up, dn, label))"""
+
+
 def _communities(spark, sf_dir):
     e = claims(spark, sf_dir).select("up", "dn", "pmid").distinct().join(paper_units(spark, sf_dir), "pmid").select("up", "dn", F.concat(F.lit("p"), "pmid").alias("p"), F.concat(F.lit("u:"), "unit").alias("unit"))
-    labels = C.label_propagation(e, ["up", "dn"], "p", "unit", bipartite=True).where("node not like 'u:%'")
-    return C.community_table(labels, ["up", "dn"]).withColumn("pmid", F.expr("substring(node, 2)").cast("long"))
+    labels = C.modularity_communities(e, ["up", "dn"], "p", "unit").where("node not like 'u:%'")
+    return C.community_table(labels, ["up", "dn"]).withColumn("pmid", F.expr("cast(substring(node, 2) as bigint)"))
 
 
-@query()
+@query(_DET + f" select up, dn, pmid, label as community, comm_size, n_comms, {r6('rel_size')} as rel_size from det")
 def communities(spark, sf_dir):
-    return _communities(spark, sf_dir).select("up", "dn", "pmid", F.col("label").alias("community"), "comm_size", "n_comms", F.round("rel_size", 6).alias("rel_size"))
+    x = _communities(spark, sf_dir).select("up", "dn", "pmid", F.col("label").alias("community"), "comm_size", "n_comms", "rel_size")
+    return rounded(x, "rel_size")
 
 
-@query()
+def _ranked(spark, sf_dir):
+    return C.ranked_communities(_communities(spark, sf_dir), ["up", "dn"], "label", "comm_size")
+
+
+@query(_DET + " select up, dn, pmid, label, cast(rank as integer) as rank from rk where (up, dn) in (select (up, dn) from rk where rank < 2 group by up, dn having count(distinct rank) = 2)")
 def community_ranks(spark, sf_dir):
-    x = C.ranked_communities(_communities(spark, sf_dir), ["up", "dn"], "label", "comm_size")
-    return C.lowest_ranks_present(x, ["up", "dn"], "rank", 2).select("up", "dn", "pmid", "label", "rank")
+    return C.lowest_ranks_present(_ranked(spark, sf_dir), ["up", "dn"], "rank", 2).select("up", "dn", "pmid", "label", F.col("rank").cast("int").alias("rank"))
 
 
-@query()
+@query(_DET + " select up, dn, pmid from rk where (up, dn, label) in (select (up, dn, min(label)) from rk where rank = 0 group by up, dn)")
+def largest_community(spark, sf_dir):
+    return C.community_of_rank(_ranked(spark, sf_dir), ["up", "dn"], "label", "rank", 0).select("up", "dn", "pmid")
+
+
+@query(_DET + " select up, dn, pmid from det where n_comms between 2 and 5")
+def few_communities(spark, sf_dir):
+    return C.community_count_between(_communities(spark, sf_dir), ["up", "dn"], "label", 2, 5).select("up", "dn", "pmid")
+
+
+@query(_DET + """, m as (select c.*, label from c join det using (up, dn, pmid)), b as (select up, dn, label, year, sum(pos) as k, count(*) as n from m group by all)
+select up, dn, label, year, cast(sum(k) over w / sum(n) over w > 0.5 as integer) as vote from b window w as (partition by up, dn, label order by year rows between unbounded preceding and 1 preceding)""")
+def detected_vote(spark, sf_dir):
+    m = claims(spark, sf_dir).join(_communities(spark, sf_dir).select("up", "dn", "pmid", "label"), ["up", "dn", "pmid"])
+    return C.earlier_majority(m, ["up", "dn"], "label")
+
+
+@query(_DET + f""", m as (select c.*, label from c join det using (up, dn, pmid)), a as (select up, dn, year, label, avg(pos) as m from m group by all), b as (select up, dn, year, avg(m) as m from a group by all) select up, dn, {r6('avg(m)')} as m from b group by up, dn""")
+def detected_mean_of_means(spark, sf_dir):
+    """Mean over communities, then years: every detected community of a year has one voice."""
+    from claimweave.operators.aggregates import mean_of_means
+    m = claims(spark, sf_dir).join(_communities(spark, sf_dir).select("up", "dn", "pmid", "label"), ["up", "dn", "pmid"])
+    return rounded(mean_of_means(m, [["up", "dn", "year", "label"], ["up", "dn", "year"], ["up", "dn"]], "pos"), "m")
+
+
+@query(_DET + f""", m as (select c.up, c.dn, label, c.pos from c join det using (up, dn, pmid)), p as (select up, dn, label, avg(ln(0.2 + 0.6 * pos)) as l0, avg(ln(0.8 - 0.6 * pos)) as l1 from m group by all), s as (select up, dn, round(sum(l0), 9) as l0, round(sum(l1), 9) as l1 from p group by all)
+select up, dn, case when l0 >= l1 then 0 else 1 end as vote from s""")
+def community_log_vote(spark, sf_dir):
+    """Mean log probability per detected community, summed over communities; the winning class."""
+    from claimweave.operators.estimates import vote_by_community
+    m = claims(spark, sf_dir).join(_communities(spark, sf_dir).select("up", "dn", "pmid", "label"), ["up", "dn", "pmid"])
+    return vote_by_community(m.withColumns({"a": 0.2 + 0.6 * F.col("pos"), "d": 0.8 - 0.6 * F.col("pos")}), ["a", "d"], "label")
+
+
+@query(_DET + """, m as (select c.claim_id, c.up, c.dn, c.year, c.pos, label from c join det using (up, dn, pmid)), b as (select up, dn, label, year, sum(pos) as k, count(*) as n from m group by all),
+v as (select up, dn, label, year, cast(sum(k) over w / sum(n) over w > 0.5 as integer) as vote from b window w as (partition by up, dn, label order by year rows between unbounded preceding and 1 preceding))
+select claim_id, cast(coalesce(pos = vote, false) as integer) as agrees from m join v using (up, dn, label, year)""")
+def community_agreement(spark, sf_dir):
+    """Whether the claim agrees with the earlier majority of its community; without one it does not."""
+    from claimweave.operators.features import agreement
+    m = claims(spark, sf_dir).join(_communities(spark, sf_dir).select("up", "dn", "pmid", "label"), ["up", "dn", "pmid"])
+    votes = C.earlier_majority(m, ["up", "dn"], "label")
+    return m.join(votes, ["up", "dn", "label", "year"]).select("claim_id", agreement(F.col("pos"), F.col("vote")).alias("agrees"))
+
+
+_GC, _GCL = C.modularity_communities_sql("bo", ["g"])
+
+
+@query(WITH + f""", e as (select cast(up as varchar) as a, cast(dn as varchar) as b, count(*) as w from c where up <> dn group by all), bo as materialized (select 0 as g, x, y, cast(sum(w) as double) as w from (select a as x, b as y, w from e union all select b, a, w from e) group by all), {_GC}
+select cast(node as bigint) as gene, label, count(*) over (partition by label) as comm_size from {_GCL}""")
 def global_communities(spark, sf_dir):
     e = claims(spark, sf_dir).groupBy("up", "dn").agg(F.count(F.lit(1)).alias("w"))
-    return C.community_table(C.label_propagation(e.withColumn("g", F.lit(0)), ["g"], "up", "dn", "w"), ["g"]).select(F.col("node").cast("long").alias("gene"), "label", "comm_size")
+    return C.community_table(C.modularity_communities(e.withColumn("g", F.lit(0)), ["g"], "up", "dn", "w"), ["g"]).select(F.col("node").cast("long").alias("gene"), "label", "comm_size")
+
+
+@query(WITH + f""", e as (select cast(up as varchar) as a, cast(dn as varchar) as b, count(*) as w from c where up <> dn group by all), bo as materialized (select 0 as g, x, y, cast(sum(w) as double) as w from (select a as x, b as y, w from e union all select b, a, w from e) group by all), {_GC},
+z as (select cast(node as bigint) as gene, label, count(*) over (partition by label) as size from {_GCL}) select claim_id, cast(coalesce(u.label = d.label, false) as integer) as same_comm, {r6('sqrt(u.size * d.size)')} as eff_comm_size from c left join z u on u.gene = c.up left join z d on d.gene = c.dn""")
+def gene_community_features(spark, sf_dir):
+    """Detected communities of both genes of a claim: whether they are one, and the mean of their sizes."""
+    from claimweave.operators.relational import role_join
+    out = role_join(claims(spark, sf_dir), global_communities(spark, sf_dir), "gene", ["label", "comm_size"])
+    same = F.coalesce((F.col("label_up") == F.col("label_dn")).cast("int"), F.lit(0))
+    return rounded(out.select("claim_id", same.alias("same_comm"), F.sqrt(F.col("comm_size_up") * F.col("comm_size_dn")).alias("eff_comm_size")), "eff_comm_size")
 
 
 _COMM = WITH + ", m as (select *, pmid % 3 as comm from c)"
@@ -173,8 +248,15 @@ def phrase_distance(spark, sf_dir):
     return _journal_pairs(spark, sf_dir).select("a", "b", F.round(X.word_distance(w(F.col("a")), w(F.col("b"))), 6).alias("distance"))
 
 
-@query()
+_ORG = "o as (select trim(replace(lower(string_split(a, ',')[1]), '& ', '')) as org from (select unnest(list_distinct(string_split(regexp_replace(affs, '\\[[^\\]]*\\]', '', 'g'), '|'))) as a from claims where affs is not null) where trim(replace(lower(string_split(a, ',')[1]), '& ', '')) <> '')"
+
+
+@query(f"""with {_ORG}, i as (select distinct org from o), j as (select distinct journal as entity from claims where journal is not null), f as (select org, translate(org, '{X.ACCENTED}', '{X.PLAIN}') as x from i), e as (select entity, translate(lower(entity), '{X.ACCENTED}', '{X.PLAIN}') as y from j),
+k as materialized (select org as entity, x as y from f where org in (select org from o group by org having count(*) >= 20)),
+d as (select org, entity, round(levenshtein(x, y) / least(length(x), length(y)), 9) as distance from f, k where levenshtein(x, y) <= floor(0.25 * least(length(x), length(y)))), b as (select org, arg_min(struct_pack(d := distance, e := entity), struct_pack(d := distance, e := entity)) as b from d where distance < 0.25 group by org)
+select org, b.e as entity, b.d as distance from i left join b using (org)""")
 def nearest_entity(spark, sf_dir):
+    """Each organisation as typed with the nearest frequent one (typed at least 20 times) within a quarter of its letters."""
     orgs = table(spark, sf_dir, "claims").select(F.explode(X.affiliation_units("affs")).alias("org"))
     known = orgs.groupBy("org").count().where("count >= 20").select(F.col("org").alias("entity"))
     return X.nearest_entity(orgs, known, "org", "entity", 0.25)

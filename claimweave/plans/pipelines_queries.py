@@ -60,7 +60,7 @@ def graph_metrics(c: DataFrame, units: DataFrame, widths: tuple[int, ...] = (1,
     group = ["width", *batch]
     windows = cut(reduce(DataFrame.unionByName, [G.windowed(c, w).withColumn("width", F.lit(w)) for w in widths]))
     edges = windows.join(units, "pmid").select(*group, F.concat(F.lit("p"), "pmid").alias("p"), F.concat(F.lit("u:"), "unit").alias("unit"))
-    labels = C.label_propagation(edges, group, "p", "unit", bipartite=True).where("node not like 'u:%'")
+    labels = C.modularity_communities(edges, group, "p", "unit").where("node not like 'u:%'")
     ranked = C.ranked_communities(C.community_table(labels, group), group, "label", "comm_size").withColumn("pmid", F.expr("substring(node, 2)").cast("long"))
     members = cut(ranked.select(*group, "pmid", "label", "comm_size", "n_comms", "rank").join(c.select("up", "dn", "pmid", "year", "pos"), ["up", "dn", "pmid"]))
     votes = C.earlier_majority(members, group, "label").where("year = look").select(*group, "label", "vote")
