@@ -161,3 +161,27 @@ def coverage(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     both = l.withColumn("a", F.lit(1)).join(r.withColumn("b", F.lit(1)), key, "full")
     return both.agg(F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).alias("both"),
                     F.count(F.when(F.col("b").isNull(), 1)).alias("left_only"), F.count(F.when(F.col("a").isNull(), 1)).alias("right_only"))
+
+
+def restrict_pairs(df: DataFrame, wanted: DataFrame, keys: list[str] = PAIR) -> tuple[DataFrame, DataFrame]:
+    """(rows of the wanted key tuples, wanted tuples that have no row)."""
+    w = wanted.select(*keys).distinct()
+    return df.join(w, keys, "left_semi"), w.join(df.select(*keys), keys, "left_anti")
+
+
+def match_parameters(few: DataFrame, many: DataFrame, parameters: list[str]) -> DataFrame:
+    """Results of two studies that agree in the parameters of the smaller set: one equi-join on those."""
+    return few.join(many, parameters)
+
+
+def right_keys(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Every row of `keys` with the matching rows of `df`, if any."""
+    return df.join(keys, on, "right")
+
+
+def shards(df: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """`shard` 0..n-1, dealt in turn along the order, so that sizes differ by one at most."""
+    from claimweave.operators.windows import running_totals
+
+    x = running_totals(df.withColumn("__cw_one", F.lit(1)), order, "__cw_one", "__cw_at")
+    return x.withColumn("shard", F.pmod(F.col("__cw_at") - 1, F.lit(n)).cast("int")).select(*df.columns, "shard")

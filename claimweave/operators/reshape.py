@@ -69,3 +69,55 @@ def order_modes(modes: Column, by: str) -> Column:
 def relative_difference(a: Column, b: Column) -> Column:
     """abs(a - b) / abs(a) per key of two maps; null where a key is missing or a is 0."""
     return F.map_zip_with(a, b, lambda _, x, y: F.when(x != 0, F.abs(x - y) / F.abs(x)))
+
+
+def wrap_bytes(c: Column) -> Column:
+    """The text as `b'...'`."""
+    return F.concat(F.lit("b'"), c.cast("string"), F.lit("'"))
+
+
+def map_rows(df: DataFrame, keys: list[str], column: str, name: str = "key", value: str = "value") -> DataFrame:
+    """A map of arrays as rows: one per entry and element, with the entry's key."""
+    x = df.select(*keys, F.explode(column).alias(name, "__cw_v"))
+    return x.select(*keys, name, F.explode("__cw_v").alias(value))
+
+
+def split_by_number(params: Column) -> tuple[Column, Column]:
+    """(entries whose name ends in `_number`, the other entries) of a map."""
+    numbered = lambda k, _: F.rlike(k, F.lit(r"_\d+$"))
+    return F.map_filter(params, numbered), F.map_filter(params, lambda k, v: ~numbered(k, v))
+
+
+def sorted_values(params: Column) -> Column:
+    """The values of a map in the order of its keys."""
+    return F.transform(F.array_sort(F.map_entries(params)), lambda e: e["value"])
+
+
+def merged_maps(a: Column, b: Column) -> Column:
+    """Both maps as one; `b` wins where both have a key."""
+    return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
+
+
+def metric_rows(df: DataFrame, keys: list[str], metrics: Column) -> DataFrame:
+    """A map of metrics as rows (`metric`, `value`)."""
+    return df.select(*keys, F.explode(metrics).alias("metric", "value"))
+
+
+def negation_codes(df: DataFrame, keys: list[str], negated: str) -> DataFrame:
+    """Rows that say the same of a key tuple counted once, with `code`, a dense number of the tuple from 0,
+    the number of rows `n` and how many of them are negated."""
+    from claimweave.operators.windows import dense_codes
+
+    per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(negated).cast("long").alias("negated"))
+    return dense_codes(per, keys, "code")
+
+
+def gene_view(mapping: DataFrame, source: str, target: str, wanted: DataFrame | None = None) -> DataFrame:
+    """Entries of a mapping: all, or those of the wanted ids, in the order of ids."""
+    x = mapping if wanted is None else mapping.join(wanted.select(source).distinct(), source, "left_semi")
+    return x.select(source, target).orderBy(source)
+
+
+def update_mapping(mapping: DataFrame, new: DataFrame, source: str) -> DataFrame:
+    """The mapping with the entries of `new`, which win."""
+    return mapping.join(new, source, "left_anti").unionByName(new)

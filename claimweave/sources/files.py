@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import itertools
+import json
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimweave.functions.clean import finite
+
 # The fields of a tagged bibliographic export and the columns they become.
 TAGS = {"PM": "pmid", "TC": "cite_count", "UT": "wos_id", "AU": "authors", "C1": "affs"}
 
@@ -73,3 +79,64 @@ def matrix_part(long: DataFrame, row: str, column: str, rows: list | None = None
 
 def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def read_report_frame(spark: SparkSession, folder: str, template: str, schema: T.StructType, **parameters) -> DataFrame:
+    """The CSV whose name is the template filled with the parameters, which become columns."""
+    df = read_csv(spark, f"{folder}/{template.format(**parameters)}", schema)
+    return df.withColumns({n: F.lit(v) for n, v in parameters.items() if n not in df.columns})
+
+
+def read_grid(spark: SparkSession, folder: str, template: str, grid: dict[str, list], schema: T.StructType) -> DataFrame:
+    """The report frames of every combination of the parameters, as one table; files must be there."""
+    cases = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+    return reduce(DataFrame.unionByName, [read_report_frame(spark, folder, template, schema, **c) for c in cases])
+
+
+def read_config(path: str) -> dict | list[str]:
+    """A JSON configuration, or a text file as its lines without blanks: small files, read on the driver."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    return json.loads(text) if path.endswith(".json") else [line.strip() for line in text.splitlines() if line.strip()]
+
+
+def read_id_table(spark: SparkSession, path: str, types: list[str], whole: tuple[str, ...] = (), lower: bool = False) -> DataFrame:
+    """One row per record of a JSON export (under response.docs) with its id of each type and its place
+    `at`; `whole` types become numbers, null where they are none, texts are folded with `lower`."""
+    doc = T.StructType([T.StructField(t, T.StringType()) for t in types])
+    schema = T.StructType([T.StructField("response", T.StructType([T.StructField("docs", T.ArrayType(doc))]))])
+    x = spark.read.schema(schema).json(path, multiLine=True).select(F.posexplode("response.docs").alias("at", "d"))
+    as_type = lambda t: F.expr(f"try_cast(d.`{t}` as bigint)") if t in whole else (F.lower(f"d.{t}") if lower else F.col(f"d.{t}"))
+    return x.select("at", *[as_type(t).alias(t) for t in types])
+
+
+def id_pairs(ids: DataFrame, source: str, target: str) -> DataFrame:
+    """One target per source id, for any two types of an id table; of several the last record's."""
+    x = ids.where(F.col(source).isNotNull() & F.col(target).isNotNull())
+    return x.groupBy(source).agg(F.max_by(target, "at").alias(target))
+
+
+def write_shards(df: DataFrame, path: str, shards: int, keys: list[str]) -> None:
+    """A folder per shard, rows dealt by the hash of the keys."""
+    df.withColumn("shard", F.pmod(F.xxhash64(*keys), F.lit(shards)).cast("int")).repartition(shards, "shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A report as JSON lines; small, so one file."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def save_model(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def chosen_parameters(report: Column, prefix: str, without: str | None = None) -> Column:
+    """The entries of a report's map whose name begins with the prefix (and does not hold `without`)."""
+    keep = lambda k, _: F.startswith(k, F.lit(prefix)) & (~F.contains(k, F.lit(without)) if without else F.lit(True))
+    return F.map_filter(report, keep)
+
+
+def experiment_filter(types: list[str], hours: float, doses: list[str], touchstone: bool = True) -> Column:
+    """The conditions on an experiment: kind of perturbation, least hours, one of the doses, a touchstone or not."""
+    cond = F.col("pert_type").isin(types) & (F.col("hours") >= hours) & F.col("pert_idose").isin(doses)
+    return cond & (F.col("is_touchstone") == 1) if touchstone else cond
