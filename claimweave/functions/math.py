@@ -151,3 +151,65 @@ def interval_forward(x: Column, a: float, b: float) -> Column:
 
 def interval_backward(y: Column, a: float, b: float) -> Column:
     return F.lit(a) + F.lit(b - a) * inv_logit(y)
+
+
+def _t_tail(t: float, df: int) -> float:
+    """Upper tail of Student's t by the continued fraction of the incomplete beta function."""
+    x, a, b = df / (df + t * t), df / 2, 0.5
+    front = math.exp(a * math.log(x) + b * math.log1p(-x) - math.lgamma(a) - math.lgamma(b) + math.lgamma(a + b))
+    def fraction(x, a, b):
+        c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+        h = d
+        for m in range(1, 300):
+            for k in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                d = 1 / (1 + k * d)
+                c = 1 + k / c
+                h *= c * d
+        return h
+    inside = front * fraction(x, a, b) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(1 - x, b, a) / b
+    return inside / 2
+
+
+def t_table(confidence: float = 0.95, most: int = 200) -> list[float]:
+    """Two-sided quantiles of Student's t for 1..most degrees of freedom."""
+    out = []
+    for df in range(1, most + 1):
+        low, high = 0.0, 1e4
+        for _ in range(80):
+            mid = (low + high) / 2
+            low, high = (mid, high) if _t_tail(mid, df) > (1 - confidence) / 2 else (low, mid)
+        out.append(mid)
+    return out
+
+
+def t_quantile(df: Column, confidence: float = 0.95) -> Column:
+    """Two-sided quantile of Student's t: from a table, and beyond it by the expansion around the normal one."""
+    from statistics import NormalDist
+
+    table, z = t_table(confidence), NormalDist().inv_cdf(0.5 + confidence / 2)
+    far = F.lit(z) + F.lit((z**3 + z) / 4) / df + F.lit((5 * z**5 + 16 * z**3 + 3 * z) / 96) / (df * df) + F.lit((3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384) / (df * df * df)
+    return F.when(df <= len(table), F.get(F.array(*[F.lit(v) for v in table]), df.cast("int") - 1)).otherwise(far)
+
+
+def correlation_interval(r: Column, n: Column, confidence: float = 0.95) -> tuple[Column, Column]:
+    """Interval of a correlation by Fisher's transform with the quantile of Student's t of n - 1 degrees; null for n <= 3."""
+    half = F.when(n > 3, t_quantile(n - 1, confidence) / F.sqrt(n - 3))
+    return F.tanh(F.atanh(r) - half), F.tanh(F.atanh(r) + half)
+
+
+def whole_step(a: float, b: float, n: int) -> int:
+    """The step, a whole number of 1 at least, that parts [a, b] into about n pieces."""
+    return max(1, round((b - a) / max(n, 1)))
+
+
+def axis_end(x: float) -> float:
+    """The next of 1, 2, 5 times a power of ten that is not below x (0 for x <= 0)."""
+    if x <= 0:
+        return 0.0
+    base = 10.0 ** math.floor(math.log10(x))
+    return next(m * base for m in (1, 2, 5, 10) if m * base >= x * (1 - 1e-12))
+
+
+def lognormal_curve(t: Column, mu: float, sd: float, scale: float, offset: float = 0.0) -> Column:
+    """scale * log-normal density of t, and an offset; the offset alone for t <= 0."""
+    return shifted_lognormal(t, mu, sd, 0.0) * F.lit(scale) + F.lit(offset)

@@ -131,3 +131,103 @@ def level_sweep(df: DataFrame, score: str, value: str, percents: list[float]) ->
     levels = F.array(*[F.when((F.col(score) <= F.lit(a)) | (F.col(score) >= F.lit(b)), F.lit(p)) for p, a, b in tails], F.lit(None).cast("double"))
     return x.withColumn("level", F.explode(F.array_compact(levels))).groupBy("level").agg(
         F.count(F.lit(1)).alias("n"), F.corr(score, value).alias("corr"), F.avg(F.abs(F.col(score) - F.col(value))).alias("distance"))
+
+
+def split_beta_parameters(train: DataFrame, flag: str, value: str = "pos") -> dict[str, float]:
+    """`alpha_p, beta_p, alpha_n, beta_n`: positive and negative claims of the interactions with and without
+    the flag, each over their number of interactions, at least one half: parameters for `beta_binomial_positive`."""
+    per = train.where(F.col(flag).isNotNull()).groupBy(*PAIR).agg(F.max(flag).alias("f"), F.sum(value).alias("k"), F.count(value).alias("n"))
+    out = {"alpha_p": 0.5, "beta_p": 0.5, "alpha_n": 0.5, "beta_n": 0.5}
+    for r in per.groupBy("f").agg(F.avg("k").alias("a"), F.avg(F.col("n") - F.col("k")).alias("b")).collect():
+        side = "p" if r["f"] else "n"
+        out |= {f"alpha_{side}": max(float(r["a"]), 0.5), f"beta_{side}": max(float(r["b"]), 0.5)}
+    return out
+
+
+def filled_sizes(batches: DataFrame, revealed: str) -> DataFrame:
+    """Per interaction: claims revealed so far, claims there are, and batches of either kind."""
+    on = F.col(revealed)
+    return batches.groupBy(*PAIR).agg(F.coalesce(F.sum(F.when(on, F.col("n"))), F.lit(0)).alias("filled"), F.sum("n").alias("potential"),
+                                      F.count(F.when(on, 1)).alias("batches_filled"), F.count(F.lit(1)).alias("batches"))
+
+
+def binned_estimates(df: DataFrame, bin_: str, truth: str, estimates: list[str], more_than: int = 4, confidence: float = 0.95) -> DataFrame:
+    """Per bin of a level: rows, mean and deviation of the truth and of each estimate, the correlation of
+    truth and estimate and its interval. Bins of few rows, or in which a column does not vary, are left out."""
+    from claimweave.functions.math import correlation_interval
+
+    x = df.dropna(subset=[bin_, truth, *estimates])
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for c in [truth, *estimates]:
+        aggs += [F.avg(c).alias(f"mean_{c}"), F.stddev_pop(c).alias(f"std_{c}")]
+    aggs += [F.corr(truth, c).alias(f"corr_{c}") for c in estimates]
+    out = x.groupBy(bin_).agg(*aggs).where(F.col("n") > more_than)
+    for c in [truth, *estimates]:
+        out = out.where(F.round(f"std_{c}", 12) > 0)
+    for c in estimates:
+        low, high = correlation_interval(F.col(f"corr_{c}"), F.col("n"), confidence)
+        out = out.withColumns({f"low_{c}": low, f"high_{c}": high})
+    return out
+
+
+def cross_section(scores: DataFrame, keys: list[str], value: str, before: Column, after: Column, reports: DataFrame | None = None, on: list[str] = PAIR) -> DataFrame:
+    """Mean, deviation and number of the value per key over the rows that hold `before`; of the groups those
+    that hold `after` (over `mean`, `std`, `n`); joined to reports if there are any."""
+    out = mean_std(scores.where(before), keys, value).where(after)
+    return out.join(reports, on) if reports is not None else out
+
+
+def pairwise_correlations(df: DataFrame, target: str, columns: list[str], least: float = 0.0) -> DataFrame:
+    """Correlation of each column with the target over the rows that have both, one pass for all columns,
+    with the number of those rows; those below the threshold in size are left out."""
+    aggs = [e for c in columns for e in (F.corr(c, target).alias(c), F.count(F.when(F.col(c).isNotNull() & F.col(target).isNotNull(), 1)).alias("n_" + c))]
+    wide = df.agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col("n_" + c).alias("n"), F.col(c).alias("corr")) for c in columns])
+    return wide.select(F.explode(rows).alias("x")).select("x.*").where(F.abs("corr") >= least)
+
+
+def correlation_table(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Every pair of columns once, `a`, `b`, `corr`: one aggregate."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    wide = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    return wide.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
+
+
+def covariates(table: DataFrame, key: str) -> DataFrame:
+    """The rows of a correlation table that have the key on either side: the other column and the correlation, in its order."""
+    x = table.where((F.col("a") == key) | (F.col("b") == key))
+    return x.select(F.when(F.col("a") == key, F.col("b")).otherwise(F.col("a")).alias("covariate"), "corr").orderBy("corr", "covariate")
+
+
+def one_tail_sweep(df: DataFrame, keys: list[str], score: str, value: str, levels: list[float], lower: bool = True, more_than: int = 2) -> DataFrame:
+    """For each level the rows in one tail of the score, cut at the percentile of the groups' scores (the
+    least of each group): rows, correlation of score and value. Tails of few rows are left out."""
+    x = df.where(F.col(score).isNotNull() & F.col(value).isNotNull())
+    cuts = exact_quantiles(x.groupBy(*keys).agg(F.min(score).alias("s")), "s", [p if lower else 1 - p for p in levels])
+    inside = [F.when((F.col(score) <= F.lit(c)) if lower else (F.col(score) >= F.lit(c)), F.lit(p)) for p, c in zip(levels, cuts)]
+    out = x.withColumn("level", F.explode(F.array_compact(F.array(*inside, F.lit(None).cast("double")))))
+    return out.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.corr(score, value).alias("corr")).where(F.col("n") > more_than)
+
+
+def threshold_flags(df: DataFrame, column: str, percents: list[float], pos: str | None = None) -> DataFrame:
+    """A 0/1 column `<column>_<i>` per global percentile, 1 above it, and with `pos` one more, `<column>_mean`,
+    at the percentile that leaves as many rows above as are positive."""
+    share = df.agg(F.avg(pos)).first()[0] if pos else None
+    every = [*percents, *([1 - share] if share is not None else [])]
+    cuts = exact_quantiles(df, column, every) or [None] * len(every)
+    names = [f"{column}_{i}" for i in range(len(percents))] + ([f"{column}_mean"] if share is not None else [])
+    return df.withColumns({n: (F.col(column) > F.lit(c)).cast("int") for n, c in zip(names, cuts)})
+
+
+def inverse_logit_means(df: DataFrame, score: str, pos: str = "pos", keys: list[str] = PAIR) -> DataFrame:
+    """Per interaction the mean of its claims' probabilities of being positive: the inverse logit of the
+    score, turned round for positive claims."""
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col(score)))
+    return df.groupBy(*keys).agg(F.avg(F.when(F.col(pos) == 1, 1 - p).otherwise(p)).alias("pi"))
+
+
+def fit_quality(df: DataFrame, truth: str, estimate: str) -> DataFrame:
+    """`mse` and `r2` of an estimate."""
+    d = F.col(truth) - F.col(estimate)
+    x = df.dropna(subset=[truth, estimate])
+    return x.agg(F.avg(d * d).alias("mse"), F.var_pop(truth).alias("v")).select("mse", (1 - F.col("mse") / F.when(F.col("v") > 0, F.col("v"))).alias("r2"))

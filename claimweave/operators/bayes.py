@@ -113,27 +113,88 @@ def trimmed_range(df: DataFrame, keys: list[str], value: str, tail: float) -> Da
     return group_quantiles(df, keys, value, {"low": tail / 2, "high": 1 - tail / 2})
 
 
-def lognormal_fit(counts: DataFrame, keys: list[str], time: str, value: str, steps: int = 60) -> DataFrame:
-    """Least-squares fit of A * lognormal(t - t_first + 1; mu, sigma) to the yearly counts of each key
-    (a row a year), by damped Gauss-Newton; `err` is the mean squared error."""
+def lognormal_fit(counts: DataFrame, keys: list[str], time: str, value: str, steps: int = 60, offset: bool = False) -> DataFrame:
+    """Least-squares fit of A * lognormal(t - t_first + 1; mu, sigma) (+ `base` with an offset) to the yearly
+    counts of each key (a row a year), by damped Gauss-Newton; `err` is the mean squared error."""
     def curve(t, p):
         z = (np.log(t) - p[0]) / p[1]
-        return p[2] * np.exp(-0.5 * z * z) / (t * p[1] * np.sqrt(2 * np.pi))
+        return p[2] * np.exp(-0.5 * z * z) / (t * p[1] * np.sqrt(2 * np.pi)) + (p[3] if offset else 0.0)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(time)
         t = pdf[time].to_numpy(float) - pdf[time].min() + 1
-        y, p, damp = pdf[value].to_numpy(float), np.array([np.log(t).mean(), 0.7, pdf[value].sum()], float), 1e-2
+        y, p, damp = pdf[value].to_numpy(float), np.array([np.log(t).mean(), 0.7, pdf[value].sum(), *([0.0] if offset else [])], float), 1e-2
         err = ((curve(t, p) - y) ** 2).mean()
         for _ in range(steps):
-            j = np.stack([(curve(t, p + d) - curve(t, p - d)) / 2e-5 for d in np.eye(3) * 1e-5], 1)
+            j = np.stack([(curve(t, p + d) - curve(t, p - d)) / 2e-5 for d in np.eye(len(p)) * 1e-5], 1)
             a = j.T @ j
-            q = p - np.linalg.solve(a + damp * (np.diag(np.diag(a)) + 1e-9 * np.eye(3)), j.T @ (curve(t, p) - y))
+            q = p - np.linalg.solve(a + damp * (np.diag(np.diag(a)) + 1e-9 * np.eye(len(p))), j.T @ (curve(t, p) - y))
             q[1] = np.clip(q[1], 0.05, 5)
             e = ((curve(t, q) - y) ** 2).mean()
             p, err, damp = (q, e, damp / 3) if e < err else (p, err, damp * 4)
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "mu": [p[0]], "sigma": [p[1]], "A": [p[2]], "err": [err], "years": [len(t)]})
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "mu": [p[0]], "sigma": [p[1]], "A": [p[2]], **({"base": [p[3]]} if offset else {}), "err": [err], "years": [len(t)]})
 
     kinds = ", ".join(f"{k} {counts.schema[k].dataType.simpleString()}" for k in keys)
-    return counts.groupBy(*keys).applyInPandas(run, f"{kinds}, mu double, sigma double, A double, err double, years long")
+    return counts.groupBy(*keys).applyInPandas(run, f"{kinds}, mu double, sigma double, A double, {'base double, ' if offset else ''}err double, years long")
+
+
+
+def shifted_mixture_loglik(df: DataFrame, keys: list[str], value: str, modes: list[tuple[float, float, float, float]]) -> DataFrame:
+    """`loglik` of each group's values under a mixture of shifted log-normal laws (weight, mu, sigma, shift). A value
+    at or left of a shift has a very low likelihood under that mode, not none."""
+    parts = []
+    for weight, mu, sigma, shift in modes:
+        d = F.when(F.col(value) > shift, F.log(F.col(value) - F.lit(shift)))
+        z = (d - F.lit(mu)) / F.lit(sigma)
+        parts.append(F.lit(float(np.log(weight))) + F.coalesce(F.lit(-0.5 * np.log(2 * np.pi) - np.log(sigma)) - d - F.lit(0.5) * z * z, F.lit(-1e3)))
+    top = F.greatest(*parts) if len(parts) > 1 else parts[0]
+    total = sum((F.exp(p - top) for p in parts[1:]), F.exp(parts[0] - top))
+    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.sum(top + F.log(total)).alias("loglik"))
+
+
+def step_logistic_loglik(df: DataFrame, keys: list[str], time: str, features: dict[str, tuple[float, float, float, float]], claim: str, penalty: float = 0.0) -> DataFrame:
+    """`loglik` of each group's claims when a claim is a Bernoulli draw, logistic in features whose coefficients
+    step over time (before, after, centre, steepness); less a penalty on the size of all coefficients."""
+    from claimweave.functions.math import logistic_step
+
+    arg = sum((logistic_step(F.col(time), c, s, low, high) * F.col(f) for f, (low, high, c, s) in features.items()), F.lit(0.0))
+    # log p and log (1 - p) without overflow
+    lp, lq = -F.log1p(F.exp(-F.abs(arg))) + F.least(arg, F.lit(0.0)), -F.log1p(F.exp(-F.abs(arg))) - F.greatest(arg, F.lit(0.0))
+    size = penalty * sum(abs(low) + abs(high) for low, high, _, _ in features.values())
+    return df.dropna(subset=[time, claim, *features]).groupBy(*keys).agg((F.sum(F.when(F.col(claim) == 1, lp).otherwise(lq)) - F.lit(size)).alias("loglik"))
+
+
+def state_change_loglik(df: DataFrame, keys: list[str], time: str, change: float, p_right, claim: str, before: float, after: float) -> DataFrame:
+    """`loglik` of each group's claims when the hidden state is positive with probability `before`, up to the time
+    of change, and `after` from it on, and a claim tells it rightly with probability `p_right`."""
+    x = df.withColumn("__cw_p", p_right).withColumn("__cw_late", (F.col(time) >= change).cast("int"))
+    hit = F.when(F.col(claim) == 1, F.log("__cw_p")).otherwise(F.log1p(-F.col("__cw_p")))
+    miss = F.when(F.col(claim) == 1, F.log1p(-F.col("__cw_p"))).otherwise(F.log("__cw_p"))
+    per = x.groupBy(*keys, "__cw_late").agg(F.sum(hit).alias("a"), F.sum(miss).alias("b"))
+    pi = F.when(F.col("__cw_late") == 1, F.lit(after)).otherwise(F.lit(before))
+    a, b = F.col("a") + F.log(pi), F.col("b") + F.log(1 - pi)
+    top = F.greatest(a, b)
+    return per.withColumn("l", top + F.log(F.exp(a - top) + F.exp(b - top))).groupBy(*keys).agg(F.sum("l").alias("loglik"))
+
+
+def chain_loglik(df: DataFrame, keys: list[str], guess, claim: str, state) -> DataFrame:
+    """`loglik` of chains of claims: the product over a chain's claims of the chance of seeing each, which is that
+    of guess and hidden state differing, summed over both; `guess` and `state` are the chances of either being 1."""
+    x = df.withColumn("__cw_g", guess).withColumn("__cw_h", state)
+    g, h = F.col("__cw_g"), F.col("__cw_h")
+    differ = g * (1 - h) + (1 - g) * h
+    return x.groupBy(*keys).agg(F.sum(F.log(F.when(F.col(claim) == 1, differ).otherwise(1 - differ))).alias("loglik"))
+
 
+def neighbourhood_of_maximum(df: DataFrame, keys: list[str], value: str, low: float, high: float, bins: int, share: float = 0.5) -> DataFrame:
+    """Per group: the fullest histogram bin (the first on ties) and how far the bins on either side that hold at
+    least `share` of its height reach without a break: `first`, `last`, `peak`."""
+    b = df.where((F.col(value) >= low) & (F.col(value) < high)).withColumn("bin", F.width_bucket(F.col(value), F.lit(low), F.lit(high), F.lit(bins)).cast("int"))
+    h = b.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
+    top = h.groupBy(*keys).agg(F.min_by("bin", F.struct(-F.col("n"), F.col("bin"))).alias("peak"), F.max("n").alias("most"))
+    near = h.join(top, keys).where(F.col("n") >= F.lit(share) * F.col("most"))
+    # Bins in a row have a constant difference of bin and place.
+    w = Window.partitionBy(*keys).orderBy("bin")
+    runs = near.withColumn("run", F.col("bin") - F.row_number().over(w))
+    ends = runs.groupBy(*keys, "peak", "run").agg(F.min("bin").alias("first"), F.max("bin").alias("last"))
+    return ends.where((F.col("first") <= F.col("peak")) & (F.col("peak") <= F.col("last"))).select(*keys, "first", "last", "peak")

@@ -1,9 +1,9 @@
 """Communities over edge rows, for all groups at once: by modularity moves, or by label propagation.
 
 A grouped function per interaction would gather a hot interaction's graph in one task; here a step is
-an aggregation over (group, node, label) for one half of the nodes: with all at once, neighbours would
+an aggregation over (group, node, label) for a part of the nodes: with all at once, neighbours would
 swap labels for ever. Labels are node ids; ties go to the present label, then to the lowest, so results
-do not depend on partitioning. The number of rounds is a parameter; labels of a step are cut from
+do not depend on partitioning. The number of steps is a parameter; labels of a step are cut from
 lineage, and the tables of the step before are deleted. A hub's edges meet one label row; adaptive
 execution splits that join."""
 
@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from claimweave.session import cut, drop_cuts
 
 
-def _half(c: Column) -> Column:
-    """0 or 1 by the first digit of a hash, which SQL can repeat."""
-    return F.conv(F.substring(F.md5(c), 1, 1), 16, 10).cast("int") % 2
+def _moving(c: Column, step: int) -> Column:
+    """Whether a node moves in a step: a third of the nodes does, another one each time, by the step's digit
+    of a hash, which SQL can repeat. Fixed halves would leave neighbours that always move together."""
+    return F.conv(F.substring(F.md5(c), step + 1, 1), 16, 10).cast("int") % 3 == 0
 
 
 def _both_ways(edges: DataFrame, group: list[str], a: str, b: str, weight: str | None) -> DataFrame:
@@ -28,26 +29,26 @@ def _both_ways(edges: DataFrame, group: list[str], a: str, b: str, weight: str |
     return e.unionByName(e.select(*group, F.col("y").alias("x"), F.col("x").alias("y"), "w")).groupBy(*group, "x", "y").agg(F.sum("w").alias("w"))
 
 
-def _moves(both: DataFrame, nodes: DataFrame, total: DataFrame, group: list[str], rounds: int) -> DataFrame:
-    """`nodes` (group, node, k, half) with a label each, moved in turns by halves to the neighbouring community
-    of largest gain in modularity, w(node, C) - k * k(C without the node) / total."""
+def _moves(both: DataFrame, nodes: DataFrame, total: DataFrame, group: list[str], steps: int) -> DataFrame:
+    """`nodes` (group, node, k) with a label each; in each step some move to the neighbouring community of
+    largest gain in modularity, w(node, C) - k * k(C without the node) / total."""
     spark, labels, last = both.sparkSession, cut(nodes.withColumn("label", F.col("node"))), None
     own = F.col("label") == F.col("now")
-    for step in range(2 * rounds):
-        now = labels.where(F.col("half") == step % 2)
+    for step in range(steps):
+        now = labels.where(_moving(F.col("node"), step))
         sums = labels.groupBy(*group, "label").agg(F.sum("k").alias("kc"))
         near = both.join(now.select(*group, F.col("node").alias("x")), [*group, "x"], "left_semi") \
             .join(labels.select(*group, F.col("node").alias("y"), "label"), [*group, "y"]).select(*group, F.col("x").alias("node"), "label", "w")
         offers = near.unionByName(now.select(*group, "node", "label", F.lit(0.0).alias("w"))).groupBy(*group, "node", "label").agg(F.sum("w").alias("w"))
-        x = offers.join(now.select(*group, "node", "k", "half", F.col("label").alias("now")), [*group, "node"]).join(sums, [*group, "label"]).join(total, group)
+        x = offers.join(now.select(*group, "node", "k", F.col("label").alias("now")), [*group, "node"]).join(sums, [*group, "label"]).join(total, group)
         gain = F.round(F.col("w") - F.col("k") * (F.col("kc") - F.when(own, F.col("k")).otherwise(0.0)) / F.col("total"), 9)
-        best = x.groupBy(*group, "node", "k", "half").agg(F.min_by("label", F.struct(-gain, (~own).cast("int"), F.col("label"))).alias("label"))
-        last, labels = labels, cut(labels.where(F.col("half") != step % 2).unionByName(best.select(*labels.columns)))
+        best = x.groupBy(*group, "node", "k").agg(F.min_by("label", F.struct(-gain, (~own).cast("int"), F.col("label"))).alias("label"))
+        last, labels = labels, cut(labels.where(~_moving(F.col("node"), step)).unionByName(best.select(*labels.columns)))
         drop_cuts(spark, last)
     return labels
 
 
-def modularity_communities(edges: DataFrame, group: list[str], a: str, b: str, weight: str | None = None, rounds: int = 3, levels: int = 2) -> DataFrame:
+def modularity_communities(edges: DataFrame, group: list[str], a: str, b: str, weight: str | None = None, steps: int = 8, levels: int = 2) -> DataFrame:
     """`group`, `node`, `label`: communities of large modularity, in the manner of Louvain's method.
 
     On the first level single nodes move, on each further one whole communities. Nodes without an edge
@@ -55,24 +56,24 @@ def modularity_communities(edges: DataFrame, group: list[str], a: str, b: str, w
     both = cut(_both_ways(edges, group, a, b, weight).where("w > 0"))
     total = both.groupBy(*group).agg(F.sum("w").alias("total"))
     degree = both.groupBy(*group, F.col("x").alias("node")).agg(F.sum("w").alias("k"))
-    found = _moves(both, degree.withColumn("half", _half(F.col("node"))), total, group, rounds).select(*group, "node", "label", "k")
+    found = _moves(both, degree, total, group, steps).select(*group, "node", "label", "k")
     for _ in range(levels - 1):
         name = lambda n, l: found.select(*group, F.col("node").alias(n), F.col("label").alias(l))
         upper = cut(both.join(name("x", "lx"), [*group, "x"]).join(name("y", "ly"), [*group, "y"]).where("lx <> ly")
                     .groupBy(*group, F.col("lx").alias("x"), F.col("ly").alias("y")).agg(F.sum("w").alias("w")))
-        nodes = found.groupBy(*group, F.col("label").alias("node")).agg(F.sum("k").alias("k")).withColumn("half", _half(F.col("node")))
-        moved = _moves(upper, nodes, total, group, rounds).select(*group, F.col("node").alias("label"), F.col("label").alias("upper"))
+        nodes = found.groupBy(*group, F.col("label").alias("node")).agg(F.sum("k").alias("k"))
+        moved = _moves(upper, nodes, total, group, steps).select(*group, F.col("node").alias("label"), F.col("label").alias("upper"))
         found = cut(found.join(moved, [*group, "label"]).select(*group, "node", F.col("upper").alias("label"), "k"))
         drop_cuts(both.sparkSession, upper)
     drop_cuts(both.sparkSession, both)
     return found.select(*group, "node", "label")
 
 
-def modularity_communities_sql(edges: str, group: list[str], rounds: int = 3, levels: int = 2) -> tuple[str, str]:
+def modularity_communities_sql(edges: str, group: list[str], steps: int = 8, levels: int = 2) -> tuple[str, str]:
     """(common table expressions, name of the result) that do the same in SQL on a relation `edges` of
     group, x, y (text), w with both directions of each edge."""
     g, using = ", ".join(group), lambda *more: f"using ({', '.join([*group, *more])})"
-    half = "cast('0x' || substr(md5(node), 1, 1) as integer) % 2"
+    moving = lambda node, step: f"cast('0x' || substr(md5({node}), {step + 1}, 1) as integer) % 3"
     ctes = [f"mt as materialized (select {g}, sum(w) as total from {edges} group by {g})",
             f"mn0 as materialized (select {g}, x as node, sum(w) as k, node as label from {edges} group by {g}, x)"]
     flat, n, both, level_of = "mn0", 0, edges, None
@@ -84,13 +85,13 @@ def modularity_communities_sql(edges: str, group: list[str], rounds: int = 3, le
             both, n = f"mu{level}", n + 1
             ctes.append(f"mn{n} as materialized (select {g}, label as node, sum(k) as k, label from {flat} group by {g}, label)")
             now = f"mn{n}"
-        for step in range(2 * rounds):
+        for step in range(steps):
             n += 1
             ctes += [
                 f"mo{n} as materialized (select {g}, node, label, sum(w) as w from (select {', '.join('b.' + c for c in group)}, b.x as node, l.label, b.w from {both} b join {now} l on {' and '.join(f'b.{c} = l.{c}' for c in group)} and b.y = l.node union all select {g}, node, label, 0e0 from {now}) group by {g}, node, label)",
                 f"ms{n} as materialized (select {g}, label, sum(k) as kc from {now} group by {g}, label)",
-                f"mx{n} as materialized (select {', '.join('o.' + c for c in group)}, o.node, o.label, c.k, c.label as present, round(o.w - c.k * (s.kc - case when o.label = c.label then c.k else 0 end) / t.total, 9) as gain from mo{n} o join {now} c {using('node')} join ms{n} s on {' and '.join(f'o.{c} = s.{c}' for c in group)} and o.label = s.label join mt t {using()} where {half.replace('node', 'o.node')} = {step % 2})",
-                f"mn{n} as materialized (select {g}, node, k, label from {now} where {half} <> {step % 2} union all select {g}, node, k, label from (select *, row_number() over (partition by {g}, node order by gain desc, label <> present, label) as r from mx{n}) where r = 1)"]
+                f"mx{n} as materialized (select {', '.join('o.' + c for c in group)}, o.node, o.label, c.k, c.label as present, round(o.w - c.k * (s.kc - case when o.label = c.label then c.k else 0 end) / t.total, 9) as gain from mo{n} o join {now} c {using('node')} join ms{n} s on {' and '.join(f'o.{c} = s.{c}' for c in group)} and o.label = s.label join mt t {using()} where {moving('o.node', step)} = 0)",
+                f"mn{n} as materialized (select {g}, node, k, label from {now} where {moving('node', step)} <> 0 union all select {g}, node, k, label from (select *, row_number() over (partition by {g}, node order by gain desc, label <> present, label) as r from mx{n}) where r = 1)"]
             now = f"mn{n}"
         if level:
             ctes.append(f"mf{level} as materialized (select {', '.join('f.' + c for c in group)}, f.node, u.label, f.k from {flat} f join {now} u on {' and '.join(f'f.{c} = u.{c}' for c in group)} and f.label = u.node)")

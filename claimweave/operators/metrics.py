@@ -122,3 +122,44 @@ def ks_uniform(df: DataFrame, keys: list[str], value: str, first_of_ties: bool =
     x = group_value_ranks(df, keys, value)
     upto, below = F.col("__cw_upto") / F.col("__cw_total"), (F.col("__cw_upto") - (F.col("__cw_n") if first_of_ties else 1)) / F.col("__cw_total")
     return x.groupBy(*keys).agg(F.max(F.greatest(F.abs(upto - F.col(value)), F.abs(F.col(value) - below))).alias("ks"), F.max("__cw_total").alias("n"))
+
+
+def kl_distance(stats: DataFrame, bins: int = 50) -> DataFrame:
+    """Kullback-Leibler divergence of the Beta(k + .5, n - k + .5) density from that of all rows' mean, both on
+    bin midpoints; a batch of rows is one array."""
+    total = stats.agg(F.sum("k").alias("k"), F.sum("n").alias("n")).first()
+    share = (total["k"] or 0) / total["n"] if total["n"] else 0.5
+
+    @F.pandas_udf("double")
+    def divergence(k: pd.Series, n: pd.Series) -> pd.Series:
+        x = (np.arange(bins) + 0.5) / bins
+
+        def logs(k, n):
+            e = (k - 0.5)[:, None] * np.log(x) + (n - k - 0.5)[:, None] * np.log1p(-x)
+            e -= e.max(1, keepdims=True)
+            return e - np.log(np.exp(e).sum(1, keepdims=True))
+
+        k, n = k.to_numpy(float), n.to_numpy(float)
+        p, q = logs(k, n), logs(share * n, n)
+        return pd.Series((np.exp(p) * (p - q)).sum(1))
+
+    return stats.withColumn("kl", divergence("k", "n"))
+
+
+def scalar_metrics(report: DataFrame, level: str, name: str, value: str) -> DataFrame:
+    """Mean of each metric per level, to four digits."""
+    return report.groupBy(level, name).agg(F.round(F.avg(value) + 1e-9, 4).alias("mean"))
+
+
+def pick_good_run(reports: DataFrame, run: str, metrics: list[str]) -> int | None:
+    """The lowest of the runs that are best in one of the metrics (the first on ties); None without runs."""
+    row = reports.agg(*[F.max_by(run, F.struct(F.col(m), -F.col(run))).alias(m) for m in metrics]).first()
+    best = [row[m] for m in metrics if row[m] is not None]
+    return min(best) if best else None
+
+
+def probability_entropy(df: DataFrame, column: str) -> DataFrame:
+    """Sum and mean of the binary entropy of probabilities; 0 and 1 have none."""
+    from claimweave.functions.math import binary_entropy
+
+    return df.agg(F.sum(binary_entropy(F.col(column))).alias("entropy"), F.avg(binary_entropy(F.col(column))).alias("mean_entropy"))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.operators.metrics import auc
+from claimweave.operators.sampling import uniform
 from claimweave.session import cut, drop_cuts
 
 
@@ -139,7 +140,7 @@ def gap_statistic(df: DataFrame, features: list[str], ks: list[int], references:
         return np.log(max(KMeans(k=k, seed=seed).fit(frame).summary.trainingCost, 1e-12))
     refs = []
     for r in range(references):
-        cols = [(F.lit(float(box[f"{c}_lo"])) + F.rand(seed * 1000 + r * 50 + i) * F.lit(float(box[f"{c}_hi"] - box[f"{c}_lo"]))).alias(c) for i, c in enumerate(features)]
+        cols = [(F.lit(float(box[f"{c}_lo"])) + uniform(seed * 1000 + r * 50 + i, "id") * F.lit(float(box[f"{c}_hi"] - box[f"{c}_lo"]))).alias(c) for i, c in enumerate(features)]
         refs.append(assemble(spark.range(n).select(*cols), features).select("features"))
     out = []
     for k in ks:
@@ -212,3 +213,125 @@ def leader_clusters(df: DataFrame, item: str, threshold: float) -> DataFrame:
     first = pairs.join(followers.withColumnRenamed(item, "first"), "first", "left_anti").groupBy(F.col("second").alias(item)).agg(
         F.min_by("first", F.struct(-F.length("first"), F.col("first"))).alias("leader"))
     return items.join(followers.join(first, item), item, "left").select(item, F.coalesce("leader", item).alias("leader"))
+
+
+def linear_p_values(df: DataFrame, features: list[str], label: str) -> list[tuple[str, float, float, float]]:
+    """(name, coefficient, standard error, p) of least squares with an intercept, from one aggregate of
+    products; p by Student's t. Rows with a null are left out; a singular matrix gives the shortest solution."""
+    from claimweave.functions.math import _t_tail
+
+    names = ["__one", *features]
+    x = df.dropna(subset=[*features, label]).withColumn("__one", F.lit(1.0))
+    m = len(names)
+    row = x.agg(*[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"a{i}_{j}") for i in range(m) for j in range(i, m)],
+                *[F.sum(F.col(n) * F.col(label)).alias(f"b{i}") for i, n in enumerate(names)], F.sum(F.col(label) * F.col(label)).alias("yy")).first()
+    a = np.array([[row[f"a{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(m)] for i in range(m)], float)
+    b = np.array([row[f"b{i}"] or 0.0 for i in range(m)], float)
+    inverse = np.linalg.pinv(a)
+    c, free = inverse @ b, max(int(a[0, 0]) - m, 1)
+    sse = max((row["yy"] or 0.0) - c @ b, 0.0)
+    se = np.sqrt(np.maximum(np.diag(inverse), 0) * sse / free)
+    t = [abs(v) / s if s > 0 else np.inf for v, s in zip(c, se)]
+    return [(n, float(v), float(s), float(2 * _t_tail(z, free)) if 0 < z < 1e6 else float(z == 0)) for n, v, s, z in zip(["intercept", *features], c, se, t)]
+
+
+def backward_elimination(df: DataFrame, features: list[str], label: str, most_p: float = 0.05, least: int = 1) -> list[tuple[int, str, float]]:
+    """(step, dropped feature, its p-value): the feature of largest p-value goes while that is above `most_p`."""
+    left, out = list(features), []
+    while len(left) > least:
+        p = {n: v for n, _, _, v in linear_p_values(df, left, label)[1:]}
+        worst = max(left, key=lambda f: (p[f], f))
+        if p[worst] <= most_p:
+            break
+        out.append((len(out), worst, p[worst]))
+        left.remove(worst)
+    return out
+
+
+def correlation_guided(df: DataFrame, features: list[str], label: str, evaluate: Callable[[list[str]], float], rounds: int = 4, candidates: int = 3) -> list[tuple[str, float]]:
+    """Features chosen one a round: of the first candidates, those most correlated with the label, of later ones,
+    those that go most against the features chosen, the one with which the evaluation is best. All
+    correlations come from one aggregate."""
+    from claimweave.operators.aggregates import correlation_table
+
+    table = {frozenset((r["a"], r["b"])): r["corr"] or 0.0 for r in correlation_table(df, [*features, label]).collect()}
+    r = lambda a, b: table.get(frozenset((a, b)), 0.0)
+    chosen, out = [], []
+    for _ in range(min(rounds, len(features))):
+        left = [f for f in features if f not in chosen]
+        order = sorted(left, key=(lambda f: (sum((r(f, c) + 1) ** 2 for c in chosen), f)) if chosen else (lambda f: (-abs(r(f, label)), f)))
+        trials = [(evaluate([*chosen, f]), f) for f in order[:candidates]]
+        value, best = max(trials, key=lambda t: (t[0], t[1]))
+        chosen.append(best)
+        out.append((best, value))
+    return out
+
+
+def best_penalty(train: DataFrame, metric: Callable[[object], float], low: float = 1e-4, high: float = 1.0, steps: int = 10) -> tuple[float, float]:
+    """(penalty, metric): golden section on the logarithm of the L1 penalty for the largest metric of the model."""
+    phi, a, b, seen = (np.sqrt(5) - 1) / 2, np.log(low), np.log(high), {}
+    def value(x: float) -> float:
+        key = round(float(x), 9)
+        if key not in seen:
+            seen[key] = metric(fit_lasso(train, float(np.exp(x))))
+        return seen[key]
+    for _ in range(steps):
+        c, d = b - phi * (b - a), a + phi * (b - a)
+        a, b = (a, d) if value(c) >= value(d) else (c, b)
+    x = max(seen, key=lambda k: (seen[k], -k))
+    return float(np.exp(x)), seen[x]
+
+
+def choose_by_gap(rows: list[tuple[int, float, float]], least: float = 0.05) -> int:
+    """The first k whose gap is not beaten by the next one less its deviation, by more than `least`; -1 if there is none."""
+    d = [g0 - g1 + s1 for (_, g0, _), (_, g1, s1) in zip(rows, rows[1:])]
+    if not any(x > 0 for x in d):
+        return -1
+    return next((rows[i][0] for i, x in enumerate(d) if x > least), rows[0][0])
+
+
+def choose_clusters(df: DataFrame, features: list[str], ks: list[int], seed: int = 0) -> list[tuple[int, float, float]]:
+    """(k, cost, silhouette) of k-means over a range of k."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    x = assemble(df, features)
+    scaled = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(x).transform(x).select("scaled")
+    out = []
+    for k in ks:
+        model = KMeans(k=k, seed=seed, featuresCol="scaled", predictionCol="cluster").fit(scaled)
+        out.append((k, float(model.summary.trainingCost), float(ClusteringEvaluator(featuresCol="scaled", predictionCol="cluster").evaluate(model.transform(scaled)))))
+    return out
+
+
+def merged_clusters(clusters: DataFrame, item: str, cluster: str, threshold: float, small: int = 3) -> DataFrame:
+    """Clusters of at most `small` items joined to the larger one that has the nearest item within the edit
+    ratio (the first on ties); every pair within the ratio is looked at, none is sampled."""
+    from claimweave.operators.text import edit_ratio
+
+    size = clusters.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"))
+    x = clusters.select(item, cluster).join(size, cluster)
+    pairs = near_pairs(clusters, item, threshold)
+    both = pairs.unionByName(pairs.select(F.col("second").alias("first"), F.col("first").alias("second")))
+    a = x.where(F.col("n") <= small).select(F.col(item).alias("first"), F.col(cluster).alias("from"))
+    b = x.where(F.col("n") > small).select(F.col(item).alias("second"), F.col(cluster).alias("to"))
+    best = both.join(a, "first").join(b, "second").groupBy("from").agg(F.min_by("to", F.struct(F.round(edit_ratio(F.col("first"), F.col("second")), 9), F.col("to"))).alias("to"))
+    out = clusters.select(item, cluster).join(best, F.col(cluster) == F.col("from"), "left")
+    return out.select(item, F.coalesce("to", cluster).alias(cluster))
+
+
+def scaled_rows(values) -> F.Column:
+    """An array of more than two numbers scaled to [0, 1] by its own least and largest; shorter ones as they are."""
+    lo, hi = F.array_min(values), F.array_max(values)
+    return F.when((F.size(values) > 2) & (hi > lo), F.transform(values, lambda v: (v - lo) / (hi - lo))).otherwise(values)
+
+
+def model_runs(df: DataFrame, fold: str, group: str | None, fit: Callable[[DataFrame, int], object], seeds: list[int]) -> list[tuple[str, int, int, float | None]]:
+    """(group, seed, fold, AUC of the held-out fold) for every group, seed and fold: the loops of a study are
+    driver loops over fits, the data stay where they are."""
+    out = []
+    groups = [None] if group is None else sorted(r[0] for r in df.select(group).distinct().collect() if r[0] is not None)
+    for g in groups:
+        x = df if g is None else df.where(F.col(group) == g)
+        for s in seeds:
+            out += [(str(g), s, int(k), None if v is None else float(v)) for k, v in cross_validated(x, fold, lambda t, s=s: fit(t, s))]
+    return out

@@ -201,3 +201,23 @@ def expanding_cuts(b: DataFrame, keys: list[str] = PAIR, time: str = "year") ->
     """For every later year of an interaction as cutoff: claims and positives before it."""
     w = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
     return b.withColumn("n_before", F.sum("n").over(w)).withColumn("k_before", F.sum("k").over(w)).where("n_before is not null")
+
+
+def attach_moving_averages(df: DataFrame, correct: str, claim: str, truth: str, widths: list[int | None], first: float = 0.5) -> DataFrame:
+    """Three averages of earlier years on each row, per width: of the correct claims of the interaction
+    (`<correct>_ma_<w>`), and of the claims of all interactions by year (`<claim>_ma_<w>`, the first year of all
+    having `first`). In the interaction's first year, where it has no own past, the first is replaced by how
+    near the general average is to its truth: the average where both lie on one side of one half, else one less it."""
+    name = lambda c, w: f"{c}_ma_{'all' if w is None else w}"
+    own, every = batches(df, correct), batches(df, claim, keys=[])
+    for w in widths:
+        own, every = moving_average(own, w, name(correct, w)), moving_average(every, w, name(claim, w), keys=[])
+    own = own.select(*PAIR, "year", *[name(correct, w) for w in widths])
+    every = every.select("year", *[F.coalesce(name(claim, w), F.lit(first)).alias(name(claim, w)) for w in widths])
+    # A row a year: broadcast, and one partition for its window.
+    out = df.join(own, [*PAIR, "year"], "left").join(F.broadcast(every), "year", "left")
+    for w in widths:
+        c, t = F.col(name(claim, w)), F.col(truth)
+        near = F.when(((t == 1) & (c >= 0.5)) | ((t == 0) & (c < 0.5)), c).otherwise(1 - c)
+        out = out.withColumn(name(correct, w), F.coalesce(name(correct, w), F.when(t.isNotNull(), near)))
+    return out

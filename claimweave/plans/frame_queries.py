@@ -316,3 +316,11 @@ def positive_scores(spark, sf_dir):
     """Pairs whose mean score lies above the middle of the normal distribution."""
     s = experiments(spark, sf_dir).groupBy("up", "dn").agg(F.avg("score").alias("m"), F.count(F.lit(1)).alias("n"))
     return s.where(norm_cdf(F.col("m")) > 0.5).select("up", "dn", "n")
+
+
+@query()
+def least_phrase_distance(spark, sf_dir):
+    """The least distance of any phrase of one journal's name to any of another's with the same first word."""
+    from claimweave.plans.graph_queries import _journal_pairs
+    p = _journal_pairs(spark, sf_dir)
+    return rounded(p.select("a", "b", T.least_phrase_metric(T.phrases(F.col("a"), " of "), T.phrases(F.col("b"), " of ")).alias("distance")), "distance")

@@ -172,14 +172,17 @@ def citation_fit(spark, sf_dir):
     return B.lognormal_fit(c, ["journal"], "year", "n")
 
 
-@query()
+_STRAT = WITH + f", r as (select claim_id, pos, row_number() over (partition by pos order by {P.uniform_sql(0, 'claim_id')}, claim_id) as at_, count(*) over (partition by pos) as have from c), s as (select %s(n) as want from (select count(*) as n from c group by pos)), t as (select claim_id, pos, cast(floor((want - at_) / have) + 1 as integer) as times from r, s) select claim_id, pos, unnest(range(1, times + 1))::integer as copy_no from t where times > 0"
+
+
+@query(_STRAT % "min")
 def stratified(spark, sf_dir):
     c = claims(spark, sf_dir).select("claim_id", "pos")
     counts = {r["pos"]: r["count"] for r in c.groupBy("pos").count().collect()}
     return P.stratify(c, "pos", P.ratio_sizes(counts, {0: 1, 1: 1}), ["claim_id"])
 
 
-@query()
+@query(_STRAT % "max")
 def oversampled(spark, sf_dir):
     c = claims(spark, sf_dir).select("claim_id", "pos")
     counts = {r["pos"]: r["count"] for r in c.groupBy("pos").count().collect()}
@@ -191,12 +194,15 @@ def group_split(spark, sf_dir):
     return P.group_split(claims(spark, sf_dir), ["up", "dn"], {"train": 0.6, "valid": 0.2, "test": 0.2}).select("claim_id", "up", "dn", "split")
 
 
-@query()
+_SEEDS = " union all ".join(f"select {t} as seed, claim_id, up, dn, pos, cast(floor({P.uniform_sql(t, 'up', 'dn')} * 3) as integer) as fold from c" for t in range(20))
+
+
+@query(WITH + f", f as ({_SEEDS}), g as (select seed, fold, count(*) as n, count(distinct pos) as k from f group by all), v as (select seed from g group by seed having count(*) = 3 and min(k) > 1 and min(n) >= 0.2 / 3 * sum(n)) select claim_id, up, dn, pos, fold from f where seed = (select min(seed) from v)")
 def kfold(spark, sf_dir):
     return P.valid_folds(claims(spark, sf_dir).select("claim_id", "up", "dn", "pos"), ["up", "dn"], 3, "pos")
 
 
-@query()
+@query(WITH + f", s as (select up, dn, count(*) as n from c group by up, dn), p as (select n, count(*) as c from s group by n), h as (select regr_slope(ln(c), ln(n)) as g from (select * from p order by n limit 5)), k as (select up, dn, n, -ln({P.uniform_sql(0, 'up', 'dn')} + 1e-18) / (pow(n, coalesce(g, 0)) / c) as key from s join p using (n), h), r as (select *, sum(n) over (order by key, up, dn) as upto from k) select claim_id, up, dn from c where (up, dn) in (select (up, dn) from r where upto - n < 0.3 * (select sum(n) from s))")
 def sample_by_length(spark, sf_dir):
     return P.sample_by_length(claims(spark, sf_dir).select("claim_id", "up", "dn"), ["up", "dn"], 0.3)
 
@@ -261,7 +267,7 @@ def kmeans(spark, sf_dir):
 @query()
 def gap(spark, sf_dir):
     x = _features(spark, sf_dir).select("ai", "ar").cache()
-    rows = L.gap_statistic(x, ["ai", "ar"], [1, 2, 3], 2)
+    rows = L.gap_statistic(x, ["ai", "ar"], [1, 2, 3, 4], 10)
     x.unpersist()
     return spark.createDataFrame(rows, "k int, gap double, deviation double")
 

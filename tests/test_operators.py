@@ -78,7 +78,7 @@ def test_quantise_distance_scale(spark):
 def test_normal_distribution(spark):
     df = spark.createDataFrame([(0.0,), (1.0,), (-1.96,), (3.0,)], "z double")
     for z, p, q in values(df.withColumn("p", X.norm_cdf(F.col("z"))).withColumn("q", X.norm_ppf(X.norm_cdf(F.col("z")))), "z", "p", "q"):
-        assert abs(p - {0.0: 0.5, 1.0: 0.841344746, -1.96: 0.0249979, 3.0: 0.9986501}[z]) < 1e-6 and abs(q - z) < 1e-3
+        assert abs(p - {0.0: 0.5, 1.0: 0.841344746, -1.96: 0.0249979, 3.0: 0.9986501}[z]) < 1e-6 and abs(q - z) < 1e-9
 
 
 def test_stick_breaking_round_trip(spark):
@@ -158,3 +158,59 @@ def test_estimates_and_splits(spark):
     assert E.valley_split(two.limit(0), ["g"], "v").count() == 0
     assert E.feature_families(["a_hi", "a_dyn_hi", "b"], {"hi": ["a", "hi"], "none": ["zz"]}) == {"hi": ["a_hi"]}
     assert E.moved_right(["a", "b", "c"], ["a"]) == ["b", "c", "a"]
+
+
+def test_numerics_against_known_values(spark):
+    import math
+    from statistics import NormalDist
+    df = spark.createDataFrame([(v,) for v in (-20.0, -7.5, -3.0, 0.3, 2.0, 6.0)], "z double")
+    for z, p in values(df.withColumn("p", X.norm_cdf(F.col("z"))), "z", "p"):
+        want = 0.5 * math.erfc(-z / math.sqrt(2))
+        assert abs(p - want) <= 1e-7 * want
+    for p, z in values(spark.createDataFrame([(v,) for v in (1e-5, 0.02, 0.5, 0.6, 0.999)], "p double").withColumn("z", X.norm_ppf(F.col("p"))), "p", "z"):
+        assert abs(z - NormalDist().inv_cdf(p)) < 1e-9
+    big = spark.createDataFrame([(1_000_000_000, 3_000_000_000)], "k long, n long").select(X.log_choose(F.col("n"), F.col("k")).alias("v")).first()["v"]
+    assert abs(big - (math.lgamma(3e9 + 1) - math.lgamma(1e9 + 1) - math.lgamma(2e9 + 1))) < 1e-4
+    t = X.t_table()
+    assert abs(t[9] - 2.2281388520) < 1e-8 and abs(t[0] - 12.7062047362) < 1e-7 and abs(t[119] - 1.9799304051) < 1e-8
+    far = spark.range(1).select(X.t_quantile(F.lit(1000)).alias("t")).first()["t"]
+    assert abs(far - 1.9623390808) < 1e-8
+    assert X.whole_step(0, 10, 4) == 2 and X.whole_step(0, 1, 10) == 1 and X.axis_end(37) == 50 and X.axis_end(0.2) == 0.2 and X.axis_end(0) == 0
+
+
+def test_exact_quantiles_of_all_and_of_groups(spark):
+    df = spark.createDataFrame([("a", float(v)) for v in [1, 1, 2, 10]] + [("b", 5.0), ("c", None), (None, 7.0), (None, 9.0)], "g string, v double")
+    assert windows.exact_quantiles(df, "v", [0.0, 0.5, 1.0]) == [1.0, 5.0, 10.0]
+    assert windows.exact_quantiles(df.limit(0), "v", [0.5]) == []
+    got = {r["g"]: (r["lo"], r["mid"]) for r in windows.group_quantiles(df, ["g"], "v", {"lo": 0.0, "mid": 0.5}).collect()}
+    assert got == {"a": (1.0, 1.5), "b": (5.0, 5.0), None: (7.0, 8.0)}
+
+
+def test_growth_draws_and_parts(spark):
+    df = spark.createDataFrame([(i, i % 30 if i < 300 else i, i % 3 > 0) for i in range(400)], "id long, h long, y boolean")
+    parts = sampling.parts_by_class(df, "y", ["id"], {"a": 0.5, "b": 0.5})
+    assert {(r["y"], r["part"]): r["count"] for r in parts.groupBy("y", "part").count().collect()} == {(True, "a"): 133, (True, "b"): 133, (False, "a"): 67, (False, "b"): 67}
+    drawn = sampling.length_draw(df, ["h"], 0.25, 1.5)
+    assert 100 <= drawn.count() <= 110 and drawn.join(df.groupBy("h").count(), "h").groupBy("h").agg(F.count("id").alias("a"), F.first("count").alias("b")).where("a <> b").count() == 0
+    assert sampling.parts_by_class(df.limit(0), "y", ["id"], {"a": 1.0}).count() == 0 and sampling.length_draw(df.limit(0), ["h"], 0.5, 1.5).count() == 0
+    assert sampling.total_sizes({0: 70, 1: 30}, 11) == {0: 6, 1: 5}
+
+
+def test_selection_and_clusters(spark):
+    from claimweave.operators import models
+    rows = [(float(i), float(i * 7 % 11), float(2 * i + 3 + (i % 3 - 1) * 0.01)) for i in range(60)]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    p = {n: (c, v) for n, c, _, v in models.linear_p_values(df, ["a", "b"], "y")}
+    assert abs(p["a"][0] - 2) < 1e-3 and p["a"][1] < 1e-6 and p["b"][1] > 0.01
+    assert [f for _, f, _ in models.backward_elimination(df, ["a", "b"], "y", 0.01)] == ["b"]
+    assert models.correlation_guided(df, ["b", "a"], "y", lambda cs: float("a" in cs), 1)[0][0] == "a"
+    assert models.choose_by_gap([(1, 0.1, 0.0), (2, 0.9, 0.01), (3, 0.8, 0.01), (4, 0.9, 0.01)]) == 2 and models.choose_by_gap([(1, 0.0, 0.0), (2, 1.0, 0.0)]) == -1
+    c = spark.createDataFrame([("university of gorland", "A"), ("university of gorlund", "A"), ("univ gorland", "A"), ("universty gorland", "A"), ("university of gorlandt", "B"), ("zzz", "C")], "s string, c string")
+    assert {r["s"]: r["c"] for r in models.merged_clusters(c, "s", "c", 0.2).collect()}["university of gorlandt"] == "A"
+
+
+def test_phrase_metrics(spark):
+    a, b, e = (F.split(F.lit(x), " ") if x else F.array().cast("array<string>") for x in ("gene lab north", "lab gene north", ""))
+    r = spark.range(1).select(text.phrase_metric(a, a).alias("same"), text.phrase_metric(a, b).alias("moved"), text.phrase_metric(a, e).alias("none"), text.word_phrase_distance(a, a).alias("w"),
+                              text.least_phrase_metric(F.array(a, b), F.array(b)).alias("least")).first()
+    assert r["same"] == 0 and 0 < r["moved"] < 1 and r["none"] == 1 and r["w"] == 0 and r["least"] == 0

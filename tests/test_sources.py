@@ -49,3 +49,41 @@ def test_stream_equals_batch(spark, tmp_path):
     c.repartition(5).write.parquet(str(tmp_path / "claims"))
     got = claim_stream.batch_counts_of(spark, str(tmp_path / "claims"))
     assert got.exceptAll(claim_stream.batch_counts(c)).count() == 0 and got.count() > 0
+
+
+def test_late_rows_are_dropped_once_the_watermark_has_passed(spark, tmp_path):
+    import os
+    for i, days in enumerate((["2024-01-10", "2024-01-10"], ["2024-01-10", "2024-01-12"], ["2024-01-01", "2024-01-12"])):
+        spark.createDataFrame([(d + " 12:00:00", "click") for d in days], "ts string, event_type string").coalesce(1).write.parquet(str(tmp_path / f"p{i}"))
+        os.makedirs(tmp_path / "events", exist_ok=True)
+        (part,) = (tmp_path / f"p{i}").glob("*.parquet")
+        os.rename(part, tmp_path / "events" / f"{i}.parquet")
+        os.utime(tmp_path / "events" / f"{i}.parquet", (1000 + i * 1000, 1000 + i * 1000))
+    out = claim_stream.event_windows(spark, str(tmp_path / "events"), "1 day", maxFilesPerTrigger="1")
+    assert {(str(r["start"])[:10], r["n"]) for r in out.collect()} == {("2024-01-10", 3), ("2024-01-12", 2)}
+
+
+def test_configurations_and_models(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"f": ["x"]}')
+    (tmp_path / "a.txt").write_text("x\n\n y \n")
+    assert files.read_config(str(tmp_path / "a.json")) == {"f": ["x"]} and files.read_config(str(tmp_path / "a.txt")) == ["x", "y"]
+
+
+def test_no_silent_local_folder(spark):
+    import pytest
+
+    from claimweave import session
+    for master in ("yarn", "spark://h:7077", "k8s://h", "local-cluster[3,4,6144]"):
+        with pytest.raises(ValueError):
+            session._own_folder(master)
+
+
+def test_scratch_deletes_what_was_cut_inside(spark):
+    from pathlib import Path
+
+    from claimweave.session import cut, scratch
+    with scratch(spark):
+        df = cut(spark.range(5))
+        (folder,) = {Path(f.removeprefix("file://").removeprefix("file:")).parent for f in df.inputFiles()}
+        assert folder.exists() and df.count() == 5
+    assert not folder.exists()
