@@ -55,3 +55,37 @@ def test_no_labels_gives_no_language(spark):
     df = spark.createDataFrame([(1, EN[0], None)], "doc_id long, text string, lang string")
     assert L.detect(df, L.fit(df)).first()["main_lang"] is None
     assert L.detect(df, L.fit(df.limit(0))).first()["main_lang"] is None
+
+
+def test_markup_of_any_length_is_no_text():
+    tag = '<a href="https://x.org/' + "q" * 90 + '" class="external link">'
+    assert L.normalise(f"We saw {tag}two</a> of [REDACTED] them&thetasym; here") == " we saw two of them here "
+    assert L.normalise("p < 0.05 and q > 0.1 hold") == " p and q hold "
+
+
+def test_short_pieces_count_for_their_neighbour():
+    text = "Yes indeed. We repeated every experiment with new cells. Very well. ABC1 0.3."
+    (one,) = L.sized_sentences(text)
+    assert one[:2] == (12, 56) and one[3] == 44 + 11 + 10
+
+
+def test_an_eleventh_language_by_its_label_and_without_one(spark):
+    import random
+    rng = random.Random(1)
+    def words(syllables, n):
+        return " ".join("".join(rng.choice(syllables) for _ in range(3)) for _ in range(n)).capitalize() + "."
+    pl, fi, xx = ["wsz", "ie", "prz", "ow", "cz"], ["kk", "aa", "ll", "uu", "nen"], ["qh", "xo", "zj", "vyq"]
+    rows = [(i, " ".join(words(s, 8) for _ in range(6)), lab) for i in range(700) for s, lab in ((pl, ["pl", "Polish", "pl-PL", "pol"][i % 4]), (fi, ["fi", "suomi"][i % 2]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(df)
+    assert set(model.codes) == {"pl", "fi"} and np.isfinite(model.floor).all()
+    new = spark.createDataFrame([(1, words(pl, 9) + " " + words(pl, 7), "fi"), (2, words(fi, 9), "suomi"), (3, " ".join(words(xx, 9) for _ in range(6)), "pl")], "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r for r in L.detect(new, model).collect()}
+    assert out[1]["main_lang"] == "pl" and out[1]["label_wrong"] and out[2]["main_lang"] == "fi" and not out[2]["label_wrong"]
+    assert out[3]["main_lang"] == L.UNKNOWN and out[3]["main_confidence"] == 0 and not out[3]["label_wrong"]
+
+
+def test_a_label_that_is_always_wrong_is_no_language(spark):
+    rows = [(i, " ".join(EN), "en") for i in range(40)] + [(50 + i, " ".join(DE), "de") for i in range(40)] + [(100 + i, " ".join(EN), "la") for i in range(5)]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert L.analyse([" ".join(EN)], model)[0].to_pylist() == ["en"]

@@ -63,3 +63,45 @@ def test_counts_and_empty(spark):
     assert got == {("p", "a"): 2, ("p", "b"): 1, ("o", "x"): 1}
     empty = counts(spark, "aus", {"x": 1}).limit(0)
     assert N.link_variants(empty, empty).count() == 0
+
+
+def entities(spark, field, items):
+    df = counts(spark, field, items)
+    linked = N.link_variants(df, None) if field == "aus" else N.link_variants(None, df)
+    return {r["spelling"]: r["entity"] for r in linked.collect()}
+
+
+def test_long_words_keep_their_typing_errors(spark):
+    import random
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(68))
+    swapped = long[:33] + long[34] + long[33] + long[35:]
+    got = entities(spark, "aus", {f"{long.title()}, Anna": 40, f"{(long[:5] + long[6:]).title()}, Anna": 2, f"{swapped.title()}, Anna": 2, f"{(long[:60] + 'qq' + long[62:])[::-1].title()}, Anna": 2})
+    assert len(set(got.values())) == 2
+
+
+def test_keys_of_words_one_error_apart_meet(spark):
+    from pyspark.sql import functions as F
+    pairs = []
+    for n in (1, 2, 3, 8, 15, 16, 17, 18, 19, 40):
+        w = "".join(chr(97 + i * 7 % 26) for i in range(n))
+        for i in range(n):
+            pairs += [(w, w[:i] + w[i + 1 :]), (w, w[:i] + "#" + w[i + 1 :]), (w, w[:i] + "#" + w[i:]), (w, w[: i - 1] + w[i : i + 1] + w[i - 1 : i] + w[i + 1 :] if i else w + "#")]
+    df = spark.createDataFrame([p for p in pairs if p[1]], "a string, b string")
+    assert df.where(~F.arrays_overlap(N._deletes("a"), N._deletes("b"))).count() == 0
+
+
+def test_all_middle_initials_count(spark):
+    got = entities(spark, "aus", {"Tolkien, J.R.R.": 20, "Tolkien, J.R.S.": 20, "Tolkien, J.R.R": 2, "Lewis, Clive S.": 30, "Lewis, C.S.": 5})
+    assert got["Tolkien, J.R.R."] == got["Tolkien, J.R.R"] != got["Tolkien, J.R.S."]
+    assert got["Lewis, Clive S."] == got["Lewis, C.S."]
+
+
+def test_name_words_are_not_taken_for_abbreviations(spark):
+    towns = ["Gorland", "Hilford", "Ivrea", "Jonstad", "Kelmar", "Lorvik"]
+    items = {f"{k.format(t)}": 50 for t in towns for k in ("University of {}", "{} University Hospital", "{} Institute of Technology", "{} Medical University")}
+    odd = {"Tech Institute": 9, "Institute of Technology": 9, "University of Me": 9, "Medical University": 9, "Ho Hospital": 9}
+    seen = {f"{t} Instu of Technology": 3 for t in towns[:4]}
+    got = entities(spark, "affs", items | odd | seen | {"Gorland Inst. of Technology": 4})
+    assert got["Tech Institute"] != got["Institute of Technology"] and got["University of Me"] != got["Medical University"]
+    assert got["Gorland Inst. of Technology"] == got["Gorland Institute of Technology"]

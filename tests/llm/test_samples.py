@@ -77,3 +77,32 @@ def test_mix_of_nothing(spark):
     rates = M.mix_rates(sized, t)
     assert rates.first()["rate"] == 0 and M.draw_mix(sized, rates, ["doc_id"]).count() == 0
     assert M.mix_report(sized, rates, ["doc_id"]).count() == 1
+
+
+def test_exchange_over_overlapping_categories_and_many_signatures():
+    rng = np.random.default_rng(5)
+    member = (rng.random((300, 12)) < 0.3).astype(float)
+    member[member.sum(1) == 0, 0] = 1
+    avail = rng.integers(1, 30, 300)
+    start = T.random_start(avail, np.zeros(300, int), 1000, rng)
+    target = rng.dirichlet(np.ones(12)) * 1000
+    got = T.swap_repair(start, avail, member, target, np.zeros(12))
+    loss = lambda c: ((c @ member - target) ** 2).sum()
+    assert got.sum() == 1000 and (got >= 0).all() and (got <= avail).all() and loss(got) < loss(start)
+    best = loss(got)
+    for a in range(0, 300, 7):
+        for b in range(300):
+            if a != b and got[a] > 0 and got[b] < avail[b]:
+                x = got.copy()
+                x[a], x[b] = x[a] - 1, x[b] + 1
+                assert loss(x) >= best - 1e-6
+
+
+def test_text_sets_and_hot_sources_are_stable(spark):
+    t = spark.createDataFrame([("first", 0, 0, 1.0, 3, 0.1), ("second", 1, 1, 1.0, 3, 0.1)], "set_id string, pos int, dist int, share double, min_rows int, draw_frac double")
+    sample, _ = T.sample_to_targets(claims(spark), t, cell(), ["claim_id"])
+    assert {r["set_id"] for r in sample.select("set_id").distinct().collect()} == {"first", "second"}
+    rates = spark.createDataFrame([(m, "hot" if s else "cold", 1.5) for m in (1, 2) for s in (0, 1)], "mix_id int, source string, rate double")
+    sized = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 > 0, "hot").otherwise("cold").alias("source"), F.lit(1).alias("n_tokens"))
+    got = {(r["mix_id"], r["source"]): r["n"] for r in M.copies(sized, rates, ["doc_id"]).groupBy("mix_id", "source").agg(F.count("*").alias("n")).collect()}
+    assert got == {(1, "hot"): 2700, (2, "hot"): 2700, (1, "cold"): 300, (2, "cold"): 300}

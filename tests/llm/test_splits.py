@@ -59,3 +59,21 @@ def test_unresolved_and_empty(spark):
     assert S.assign_splits(df, roots, {"a": 1.0}, "up", "dn", ["claim_id"]).where("split = 'a'").count() == 3
     none = df.limit(0)
     assert S.assign_splits(none, S.related_roots(none, "up", "dn"), {"a": 0.5, "b": 0.5}, "up", "dn", ["claim_id"]).count() == 0
+
+
+def test_a_component_keeps_its_place_whatever_its_share(spark):
+    base = [(g * 10, g * 10 + 1) for g in range(1, 400) for _ in range(5)]
+    seen = []
+    for n in (9, 11):  # 0.45 % and 0.55 % of the records
+        df = records(spark, base + [(9001, 9002)] * n)
+        out = S.assign_splits(df, S.related_roots(df, "up", "dn"), {"train": 0.7, "valid": 0.15, "test": 0.15}, "up", "dn", ["claim_id"])
+        seen.append({r["root"]: r["split"] for r in out.select("root", "split").distinct().collect()})
+    assert seen[0][9001] == seen[1][9001] and sum(seen[0][k] != seen[1][k] for k in seen[0]) <= 2
+
+
+def test_report_says_what_a_giant_makes_unreachable(spark):
+    df = records(spark, [(7, 8)] * 90 + [(i, i) for i in range(100, 110)])
+    shares = {"a": 0.5, "b": 0.5}
+    out = {r["split"]: r for r in S.split_report(S.assign_splits(df, S.related_roots(df, "up", "dn"), shares, "up", "dn", ["claim_id"]), shares).collect()}
+    assert sum(r["records"] for r in out.values()) == 100 and max(r["largest_component"] for r in out.values()) == 0.9
+    assert all(r["target_share"] == 0.5 for r in out.values())
