@@ -69,6 +69,11 @@ def test_projection_and_refutation(spark):
     u = spark.createDataFrame([(0, "a"), (0, "b"), (1, "a"), (1, "b"), (2, "b"), (2, "c"), (3, "z")], "pmid long, unit string")
     w = {(r["a"], r["b"]): r["weight"] for r in G.projected_weights(c, u).collect()}
     assert w == {(0, 1): 1.0, (0, 2): 1 / 3, (1, 2): 1 / 3}
-    out = {r["claim_id"]: r["vote_x9"] for r in C.refutation(c, {"x": u}, [9]).collect()}
-    assert out[0] is None and out[1] == 1 and out[3] is None
     assert G.summed_weights([G.projected_weights(c, u)] * 2).agg(F.max("weight")).first()[0] == 1.0
+    # Two groups of authors; the claim of 2001 is in the first, whose earlier claims are positive.
+    rows = [(0, 2000, 1, "ab"), (1, 2000, 1, "ab"), (2, 2001, 0, "ab"), (5, 2000, 0, "xy"), (6, 2000, 0, "xy"), (7, 2001, 1, "xy"), (8, 2001, 1, "")]
+    c = spark.createDataFrame([(i, 1, 2, i, y, p) for i, y, p, _ in rows], "claim_id long, up long, dn long, pmid long, year int, pos int")
+    u = spark.createDataFrame([(i, x) for i, _, _, xs in rows for x in xs], "pmid long, unit string")
+    out = {r["claim_id"]: r["vote_x9"] for r in C.refutation(c, {"x": u}, [9]).collect()}
+    assert out == {0: None, 1: None, 2: 1, 5: None, 6: None, 7: 0, 8: None}
+    assert C.refutation(c.limit(0), {"x": u}, [9]).count() == 0
