@@ -141,12 +141,15 @@ def _draw(x: DataFrame, rows: list[dict], names: list[str], ids: list[str], kind
     keyed = {(r["set_id"], *[r[n] for n in names]): r["drawn"] for r in rows if r["drawn"]}
     # Each draw is an interval of the hash that is open (`low`, whole buckets below it are in) and
     # how many rows of the bucket [low, low + width) are still due.
-    open_ = {k: {"low": 0, "bits": HASH_BITS, "due": n, "done": False} for k, n in keyed.items()}
+    have = {(r["set_id"], *[r[n] for n in names]): r["available"] for r in rows}
+    open_ = {k: {"low": 0, "bits": HASH_BITS, "due": n, "rows": have[k], "done": have[k] <= MOST_RANKED} for k, n in keyed.items()}
     cells = spark.createDataFrame([k for k in keyed], f"{SET} {kind}, {kinds}")
     hashed = x.join(F.broadcast(cells), names).withColumn(
         HASH, F.shiftrightunsigned(F.xxhash64(F.lit(seed), SET, *ids), 64 - HASH_BITS))
     while todo := {k: v for k, v in open_.items() if not v["done"]}:
-        fine = max((MOST_BUCKETS // len(todo)).bit_length() - 1, 1)
+        # As many buckets as bring the fullest cell's down to a quarter of what a task may rank.
+        wanted = (4 * max(v["rows"] for v in todo.values()) // MOST_RANKED).bit_length()
+        fine = max(min(wanted, (MOST_BUCKETS // len(todo)).bit_length() - 1), 1)
         bits = max(max(v["bits"] for v in todo.values()) - fine, 0)
         bounds = spark.createDataFrame([(*k, v["low"], v["low"] + (1 << v["bits"])) for k, v in todo.items()], f"{SET} {kind}, {kinds}, __cw_low long, __cw_high long")
         hist = hashed.join(F.broadcast(bounds), [SET, *names]).where((F.col(HASH) >= F.col("__cw_low")) & (F.col(HASH) < F.col("__cw_high"))) \
@@ -157,7 +160,7 @@ def _draw(x: DataFrame, rows: list[dict], names: list[str], ids: list[str], kind
         for k, v in todo.items():
             for b, n in sorted(per[k]):
                 if n >= v["due"]:
-                    v |= {"low": b << bits, "bits": bits, "done": n <= MOST_RANKED or bits == 0}
+                    v |= {"low": b << bits, "bits": bits, "rows": n, "done": n <= MOST_RANKED or bits == 0}
                     break
                 v["due"] -= n
     limits = spark.createDataFrame([(*k, v["low"], v["low"] + (1 << v["bits"]), v["due"]) for k, v in open_.items()],
