@@ -1,6 +1,7 @@
 """Every query with SQL against DuckDB on the smallest tables, and every other one for its rows."""
 
 import importlib.util
+import re
 import sys
 from pathlib import Path
 
@@ -37,9 +38,9 @@ def test_equal(spark, con, name):
     assert got == sorted(([compare.cell(r[have.index(c)]) for c in cols] for r in cur.fetchall()), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(n for n in set(entry.queries()) - set(entry.oracle_sql()) if not re.match(r"p\d+_", n)))
 def test_rows(spark, name):
-    """Queries SQL cannot say: they run whole, have rows, and no column of the result is null throughout."""
+    """Queries SQL cannot say (those of the training-data problems have tests of their own): they run whole, have rows, and no column of the result is null throughout."""
     df = entry.queries()[name](spark, SF)
     rows = [r.asDict() for r in df.collect()]
     assert rows or name in ("logit_p_values",)
