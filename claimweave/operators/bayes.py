@@ -74,7 +74,7 @@ def mcmc_step(batches: DataFrame, draws: int = 400, burn: float = 0.5, seed: int
                 yield chains(list(zip(part["up"], part["dn"], part["h"])))
 
     tasks = int(batches.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work
-    h = batches.groupBy(*PAIR).agg(F.collect_list(F.struct("year", "k", "n")).alias("h")).repartition(tasks, *PAIR)
+    h = batches.groupBy(*PAIR).agg(F.collect_list(F.struct("year", "k", "n")).alias("h")).repartition(tasks)
     return h.mapInPandas(run, "up long, dn long, p0 double, p1 double, t0 double, p0_sd double, p1_sd double, t0_sd double")
 
 

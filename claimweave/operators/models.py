@@ -179,8 +179,9 @@ def near_pairs(df: DataFrame, item: str, threshold: float, other: DataFrame | No
                     n -= 1
             yield pd.DataFrame(list(rows), columns=["first", "n", "i", "part"])
 
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work
-    strings = lambda f: f.select(F.col(item).cast("string").alias(item)).dropna().distinct().repartition(tasks, item)
+    # Few bytes, much work: dealt in turn, as a shuffle by the string would be one with that of the distinct and shrink with it.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    strings = lambda f: f.select(F.col(item).cast("string").alias(item)).dropna().distinct().repartition(tasks)
     x, y = strings(df), strings(df if other is None else other)
     short = lambda f: f.mapInPandas(of_shorter, "second string, n int, i int, part string")
     long = lambda f: f.mapInPandas(of_longer, "first string, n int, i int, part string")
