@@ -166,13 +166,6 @@ def window_pairs(weights: DataFrame, windows: DataFrame) -> DataFrame:
     return weights.join(a, [*PAIR, "a"]).join(b, [*key, "b"]).select(*key, "a", "b", "weight")
 
 
-def node_degrees(edges: DataFrame, look: str = "look") -> DataFrame:
-    """Distinct in- and out-neighbours of every gene per year of a cumulative graph."""
-    out = edges.groupBy(F.col("up").alias("gene"), look).agg(F.countDistinct("dn").alias("deg_out"))
-    in_ = edges.groupBy(F.col("dn").alias("gene"), look).agg(F.countDistinct("up").alias("deg_in"))
-    return out.join(in_, ["gene", look], "full").na.fill(0, ["deg_out", "deg_in"])
-
-
 def previous_degrees(claims: DataFrame) -> DataFrame:
     """Degrees of both ends of each claim in the graph of all earlier years (0 where a gene is new).
 

@@ -41,12 +41,6 @@ def clean_tokens(c: Column, stop: list[str] = STOP_WORDS) -> Column:
     return F.array_distinct(F.filter(F.regexp_extract_all(ascii_lower(c), F.lit(r"(\w+)"), 1), lambda w: ~w.isin(stop)))
 
 
-def target_phrases(phrases: Column, targets: list[str], back: list[str]) -> Column:
-    """Phrases that contain a target, equal a back target, or stand right before one that contains a target."""
-    hit = lambda p: F.exists(F.array(*[F.lit(t) for t in targets]), lambda t: F.contains(p, t))
-    return F.filter(phrases, lambda p, i: hit(p) | p.isin(back) | F.coalesce(hit(F.get(phrases, i + 1)), F.lit(False)))
-
-
 def edit_ratio(a: Column, b: Column) -> Column:
     """Edit distance over the shorter length; null where one is empty."""
     n = F.least(F.length(a), F.length(b))
