@@ -16,6 +16,7 @@ from claimweave.operators import relational as R
 from claimweave.operators import sampling as P
 from claimweave.operators import windows as W
 from claimweave.operators.features import error_flags, level_distance, quantize
+from claimweave.operators.relational import value_windows
 from claimweave.session import cut
 from claimweave.sources.claims import UNITS_SQL, WITH, claims, experiments, paper_units
 
@@ -50,26 +51,26 @@ def graph_metrics(c: DataFrame, units: DataFrame, widths: tuple[int, ...] = (1,
     """Per claim, over windows of each width that end in its year: support of the interaction, affinity of
     the paper, size, number and rank of the communities detected among the window's papers, and the
     refutation vote: the majority of the claims of its community in the window's earlier years (null if
-    none). Papers without units are in no community."""
-    batch, paper = ["up", "dn", "look"], ["up", "dn", "look", "pmid"]
-    out = c.select("claim_id", "up", "dn", F.col("year").alias("look"), "pmid")
+    none). Papers without units are in no community. `c` has a row per (up, dn, pmid)."""
+    batch, paper, group = ["up", "dn", "look"], ["up", "dn", "look", "pmid"], ["width", "up", "dn", "look"]
+    windows = cut(value_windows(c.select("up", "dn", "year", "pmid", "pos"), ["up", "dn"], "year", max(widths)))
+    # A paper goes once to each group; the widths are taken apart there, and all windows' figures are found in one pass.
+    members = C.measured_communities(G.stars(windows, G.unit_lists(units)), batch, "p", "u", side=True, carry=("pmid", "year", "pos"), widths=widths, degrees=True)
+    age = F.col("look") - F.col("year")
+    n_papers = windows.groupBy(*batch).agg(*[F.count(F.when(age < w, 1)).alias(f"n{w}") for w in widths])
+    earlier = F.when(F.col("year") < F.col("look"), F.col("pos"))
+    found = members.groupBy(*group, "label").agg(F.first("comm_size").alias("comm_size"), F.first("n_comms").alias("n_comms"), (F.avg(earlier) > 0.5).cast("int").alias("vote"))
+    found = W.dense_rank_desc(found, group, "comm_size", "rank")
+    figures = ("comm_size", "n_comms", "rank", "vote")
+    own = members.where("year = look").select(*group, "pmid", "label", "shared", "degree").join(found, [*group, "label"])
+    own = own.groupBy(*paper).agg(*[F.max(F.when(F.col("width") == w, F.col(n))).alias(f"{n}{w}") for w in widths for n in (*figures, "shared", "degree")])
+    of_group = n_papers.join(members.groupBy(*batch).agg(*[F.max(F.when(F.col("width") == w, F.col(n))).alias(f"{n}{w}") for w in widths for n in ("squares", "others")]), batch, "left")
+    out = c.select("claim_id", "up", "dn", F.col("year").alias("look"), "pmid").join(of_group, batch).join(own, paper, "left")
     for w in widths:
-        support = G.support_index(c, units, w).select(*batch, F.col("support").alias(f"support{w}"))
-        affinity = G.affinity_index(c, units, w).select(*paper, F.col("affinity").alias(f"affinity{w}"))
-        out = out.join(support, batch, "left").join(affinity, paper, "left")
-    # The width is part of the group, so the communities of all windows are found in the same rounds.
-    group = ["width", *batch]
-    windows = cut(reduce(DataFrame.unionByName, [G.windowed(c, w).withColumn("width", F.lit(w)) for w in widths]))
-    edges = windows.join(units, "pmid").select(*group, F.concat(F.lit("p"), "pmid").alias("p"), F.concat(F.lit("u:"), "unit").alias("unit"))
-    labels = C.modularity_communities(edges, group, "p", "unit").where("node not like 'u:%'")
-    ranked = C.ranked_communities(C.community_table(labels, group), group, "label", "comm_size").withColumn("pmid", F.expr("substring(node, 2)").cast("long"))
-    members = cut(ranked.select(*group, "pmid", "label", "comm_size", "n_comms", "rank").join(c.select("up", "dn", "pmid", "year", "pos"), ["up", "dn", "pmid"]))
-    votes = C.earlier_majority(members, group, "label").where("year = look").select(*group, "label", "vote")
-    own = cut(members.where("year = look").join(votes, [*group, "label"], "left").select(*group, "pmid", "comm_size", "n_comms", "rank", "vote"))
-    for w in widths:
-        names = {n: f"{n}{w}" for n in ("comm_size", "n_comms", "rank", "vote")}
-        out = out.join(own.where(F.col("width") == w).drop("width").withColumnsRenamed(names), paper, "left")
-    return out
+        n = F.col(f"n{w}")
+        index = {"support": F.col(f"squares{w}") / (F.col(f"others{w}") * n * n), "affinity": F.try_divide(F.col(f"shared{w}"), F.col(f"degree{w}") * (n - 1))}
+        out = out.withColumns({f"{name}{w}": F.coalesce(F.when(n > 1, x), F.lit(0.0)) for name, x in index.items()})
+    return out.select(*paper, "claim_id", *[f"{n}{w}" for w in widths for n in ("support", "affinity")], *[f"{n}{w}" for w in widths for n in figures])
 
 
 def pipeline_graph_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

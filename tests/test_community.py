@@ -87,6 +87,11 @@ def test_groups_too_large_for_a_task_take_the_same_steps(spark):
     for weight, side in ((None, True), ("w", False)):
         small, large = (C.measured_communities(df, ["g"], "p", "u", weight, 3, side=side, most=m) for m in (10**6, 0))
         assert cells(small) == cells(large.select(small.columns))
+    dated = df.select("g", F.lit(2005).alias("look"), F.substring("p", 2, 1).cast("int").alias("age"), "p", "u").distinct().withColumn("year", F.col("look") - F.col("age"))
+    small, large = (C.measured_communities(dated, ["g", "look"], "p", "u", None, 3, side=True, carry=("year",), widths=(1, 4), degrees=True, most=m) for m in (10**6, 0))
+    assert cells(small) == cells(large.select(small.columns)) and {r["width"] for r in small.collect()} == {1, 4}
+    one = C.measured_communities(dated.where("age < 4"), ["g", "look"], "p", "u", None, 3, side=True, carry=("year",), degrees=True)
+    assert cells(small.where("width = 4").drop("width")) == cells(one)
     assert cells(C.graph_components(df, ["g"], "p", "u", most=0)) == cells(C.graph_components(df, ["g"], "p", "u"))
     lists = df.groupBy("g", "p").agg(F.collect_set("u").alias("u"))
     assert cells(C.modularity_communities(lists, ["g"], "p", "u")) == cells(C.modularity_communities(df.distinct().select("g", "p", "u").distinct(), ["g"], "p", "u"))
