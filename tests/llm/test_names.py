@@ -105,3 +105,13 @@ def test_name_words_are_not_taken_for_abbreviations(spark):
     got = entities(spark, "affs", items | odd | seen | {"Gorland Inst. of Technology": 4})
     assert got["Tech Institute"] != got["Institute of Technology"] and got["University of Me"] != got["Medical University"]
     assert got["Gorland Inst. of Technology"] == got["Gorland Institute of Technology"]
+
+
+def test_no_join_is_broadcast(spark):
+    """The exploded candidates were sent through the driver wherever the forms' own file was below the threshold."""
+    forms = spark.createDataFrame([(i, "aus", f"abcdef{i}", "michael", "m", "", 3, 1) for i in range(50)],
+                                  "id long, field string, head string, body string, init string, mid string, n long, lexical int")
+    linked = spark.createDataFrame([("aus", "a", 1, 7), ("aus", "b", 1, 7)], "field string, spelling string, n long, entity long")
+    for df in (N.attribute(forms), N.variant_pairs(linked)):
+        df.collect()
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
